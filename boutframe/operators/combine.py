@@ -14,6 +14,8 @@ from boutframe.operators.features import prefixed
 from boutframe.operators.lookups import same_group
 from boutframe.operators.ratings import rating_differences
 
+COUNTED_AT_ONCE = 64
+
 
 def join_rankings(contests: DataFrame, rankings: DataFrame) -> DataFrame:
     for side in ("away", "home"):
@@ -56,12 +58,18 @@ def combine(
 
 
 def drop_all_null(df: DataFrame) -> DataFrame:
-    """Drop columns without a single value; one counting pass over ``df``.
+    """Drop columns without a single value.
 
-    Pass a written table: the pass and the result both read it.
+    Pass a written table: each counting pass then reads its own columns only. Wide
+    tables are counted in slices, as one aggregate over all columns outgrows the
+    size the JVM compiles.
     """
-    counts = df.agg(*[F.count(c).alias(c) for c in df.columns]).first()
-    return df.drop(*[c for c in df.columns if counts[c] == 0])
+    empty = []
+    for start in range(0, len(df.columns), COUNTED_AT_ONCE):
+        names = df.columns[start : start + COUNTED_AT_ONCE]
+        counts = df.agg(*[F.count(c).alias(c) for c in names]).first()
+        empty += [c for c in names if counts[c] == 0]
+    return df.drop(*empty)
 
 
 def newest_first(df: DataFrame) -> DataFrame:

@@ -60,14 +60,10 @@ def side_row(side: str, with_stats: bool) -> Column:
     ]
     if with_stats:
         for owner, prefix in ((side, ""), (foe, "opponent_")):
-            for stat in fv.BOXSCORE_STATS:
-                name = prefix + stat
-                if name in UNWANTED_OPPONENT:
-                    continue
-                value = F.col(f"{owner}_{stat}")
-                if stat == "time_of_possession":
-                    value = sc.clock_seconds(value)
-                fields.append(value.cast("double").alias(name))
+            named = {prefix + stat: F.col(f"{owner}_{stat}") for stat in fv.BOXSCORE_STATS}
+            clock = f"{prefix}time_of_possession"
+            named[clock] = sc.clock_seconds(named[clock])
+            fields += [v.alias(n) for n, v in named.items() if n not in UNWANTED_OPPONENT]
     return F.struct(*fields)
 
 

@@ -17,7 +17,7 @@ COMPARED = [*fv.FORM_STATS, *[f"opponent_{s}" for s in OPPONENT_FORM]]
 
 def prefixed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     """Prefix every column but the keys."""
-    return df.select(*[F.col(c).alias(c if c in keys else prefix + c) for c in df.columns])
+    return df.selectExpr(*[c if c in keys else f"{c} AS {prefix}{c}" for c in df.columns])
 
 
 def join_form(schedule: DataFrame, form: DataFrame) -> DataFrame:
@@ -31,9 +31,7 @@ def join_form(schedule: DataFrame, form: DataFrame) -> DataFrame:
 
 def stat_differences(contests: DataFrame) -> DataFrame:
     """Away minus home for every compared stat, in one projection."""
-    return contests.select(
-        "*", *[(F.col(f"away_{s}") - F.col(f"home_{s}")).alias(f"{s}_diff") for s in COMPARED]
-    )
+    return contests.selectExpr("*", *[f"away_{s} - home_{s} AS {s}_diff" for s in COMPARED])
 
 
 def join_results(contests: DataFrame, facts: DataFrame) -> DataFrame:

@@ -109,16 +109,16 @@ def running_form(weekly: DataFrame, listings: DataFrame) -> DataFrame:
     sums = [c for c in weekly.columns if c.endswith("__sum")]
     counts = [c for c in weekly.columns if c.endswith("__n")]
     means = sorted(c[: -len("__n")] for c in counts)
-    by_week = W.partitionBy("team_abbr", "season", "team_name").orderBy("week")
-    so_far = by_week.rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_week = "PARTITION BY team_abbr, season, team_name ORDER BY week"
+    so_far = f"({by_week} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     in_season = W.partitionBy("team_abbr", "season")
     next_season = W.partitionBy("team_abbr").orderBy("season").rangeBetween(1, 1)
 
     rows = weekly.unionByName(listings, allowMissingColumns=True).repartition("team_abbr")
-    running = rows.select(
+    running = rows.selectExpr(
         "season", *ENTITY, "week", "listed",
-        F.lead("week").over(by_week).alias("next_week"),
-        *[F.sum(c).over(so_far).alias(c) for c in [*sums, *counts]],
+        f"lead(week) OVER ({by_week}) AS next_week",
+        *[f"sum({c}) OVER {so_far} AS {c}" for c in [*sums, *counts]],
     )
     form = with_rates(
         running.selectExpr(

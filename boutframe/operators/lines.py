@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutframe import fixed_values as fv
-from boutframe.functions.odds import spread_to_moneyline
+from boutframe.functions.odds import lower_tail, moneyline
 from boutframe.functions.scalars import rating_code
 from boutframe.operators.lookups import translate
 
@@ -80,15 +80,20 @@ def quoted_moneyline(side: str) -> Column:
 
 
 def with_moneylines(chosen: DataFrame) -> DataFrame:
-    """Quoted moneylines, computed from the side's spread where there is no quote."""
-    return chosen.withColumns(
-        {
-            f"{side}_moneyline": F.coalesce(
-                quoted_moneyline(side), spread_to_moneyline(F.col(f"{side}_spread"))
-            )
-            for side in ("home", "away")
-        }
-    )
+    """Quoted moneylines, computed from the side's spread where there is no quote.
+
+    Both sides' spreads are equally far from zero, so one tail serves both.
+    """
+    tailed = chosen.withColumn(
+        "__distance", F.abs(F.col("home_spread")) / fv.MARGIN_STD_DEV
+    ).withColumn("__tail", lower_tail(F.col("__distance")))
+    lines = {
+        f"{side}_moneyline": F.coalesce(
+            quoted_moneyline(side), moneyline(F.col(f"{side}_spread"), F.col("__tail"))
+        )
+        for side in ("home", "away")
+    }
+    return tailed.withColumns(lines).drop("__distance", "__tail")
 
 
 def with_abbreviations(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame:

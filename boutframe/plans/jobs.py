@@ -93,8 +93,9 @@ class Build:
 
     @cached_property
     def combined(self) -> DataFrame:
+        features = written(self.features, "features")
         return cb.combine(
-            self.features, self.rankings, self.ratings, self.lines, self.inputs.divisions
+            features, self.rankings, self.ratings, self.lines, self.inputs.divisions
         )
 
     @cached_property

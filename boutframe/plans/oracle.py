@@ -128,7 +128,7 @@ def bucket(mix, n) -> str:
 
 
 def r6(expr, name) -> str:
-    return f"round({expr}, 6) AS {name}"
+    return f"round_even(({expr}) * 1000000, 0) / 1000000 AS {name}"
 
 
 def cols(names) -> str:
@@ -580,7 +580,7 @@ def fitted_lambdas() -> str:
           FROM samples s JOIN best{i} b ON b.feature = s.feature, range(0, {GRID_POINTS}) g(k))
     GROUP BY feature, l) GROUP BY feature)"""
         )
-    return f"WITH {', '.join(rounds)} SELECT feature, round(lam, 4) AS lam FROM best3"
+    return f"WITH {', '.join(rounds)} SELECT feature, round_even(lam * 10000, 0) / 10000 AS lam FROM best3"
 
 
 # --- one statement per query ---------------------------------------------------------
@@ -749,7 +749,7 @@ FROM lineitem, (SELECT avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs,
                        avg(l_extendedprice) AS pm, stddev_pop(l_extendedprice) AS ps FROM lineitem)""",
     "yeo_johnson": f"""
 SELECT c_custkey, {cols(r6(yj('x', lam), name) for name, lam in (('half', 0.5), ('log_up', 0.0), ('log_down', 2.0), ('third', -1.5)))}
-FROM (SELECT c_custkey, c_acctbal / 1000 AS x FROM customer)""",
+FROM (SELECT c_custkey, c_acctbal / 777 AS x FROM customer)""",
     "yeo_johnson_fitted": fitted_lambdas(),
     "holdout_split": f"""
 SELECT o_orderkey, {bucket(mixed('o_orderkey'), 1000)} < 300 AS held_out FROM orders""",

@@ -17,6 +17,8 @@ DEFAULTS = {
     # Wide aggregates otherwise compile to methods the JVM refuses to optimise.
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Call-site capture costs more than building the wide plans themselves.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
