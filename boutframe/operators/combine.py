@@ -72,12 +72,14 @@ def drop_all_null(df: DataFrame) -> DataFrame:
     return df.drop(*empty)
 
 
+def stamp_dates(df: DataFrame) -> DataFrame:
+    """Date as timestamp, unreadable text to null."""
+    return df.withColumn("date", F.try_to_timestamp(F.col("date").cast("string")))
+
+
 def newest_first(df: DataFrame) -> DataFrame:
-    """Date as timestamp (unreadable to null), newest first, undated last."""
-    stamped = df.withColumn("date", F.try_to_timestamp(F.col("date").cast("string")))
-    return stamped.orderBy(
-        F.col("date").desc_nulls_last(), "season", "week", "away_abbr", "home_abbr"
-    )
+    """Newest first, undated last; the contest's keys make the order repeatable."""
+    return df.orderBy(F.col("date").desc_nulls_last(), "season", "week", "away_abbr", "home_abbr")
 
 
 def completed(all_contests: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ class Build:
     @cached_property
     def feature_table(self) -> DataFrame:
         """The final table without all-null columns, unordered."""
-        return cb.drop_all_null(written(self.combined, "combined"))
+        return cb.stamp_dates(cb.drop_all_null(written(self.combined, "combined")))
 
     @cached_property
     def all_data(self) -> DataFrame:
