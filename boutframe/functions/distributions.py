@@ -49,16 +49,19 @@ def normality_p(k2: Column) -> Column:
 
 
 def yeo_johnson(x: Column, lam: Column) -> Column:
-    """Power transform for either sign, continuous in ``lam``."""
-    up, down = F.log1p(F.abs(x)), F.lit(2.0) - lam
-    positive = F.when(F.abs(lam) < NEAR_ZERO, up).otherwise(F.expm1(lam * up) / lam)
-    negative = F.when(F.abs(down) < NEAR_ZERO, -up).otherwise(-F.expm1(down * up) / down)
-    return F.when(x >= 0, positive).when(x < 0, negative)
+    """Power transform for either sign, continuous in ``lam``.
 
+    Both signs are one formula: sign(x) * ((1 + |x|)^e - 1) / e with e = lam for
+    positive and 2 - lam for negative values, and the logarithm where e is zero.
+    """
+    return signed_power(F.signum(x), F.log1p(F.abs(x)), lam)
 
-def signed_log(x: Column) -> Column:
-    """The Jacobian term of the transform's likelihood."""
-    return F.signum(x) * F.log1p(F.abs(x))
+
+def signed_power(sign: Column, log_size: Column, lam: Column) -> Column:
+    """The transform from the sign and ``log1p(|x|)``, for callers that try many lambdas."""
+    power = F.when(sign < 0, F.lit(2.0) - lam).otherwise(lam)
+    grown = F.expm1(power * log_size) / power
+    return sign * F.when(F.abs(power) < NEAR_ZERO, log_size).otherwise(grown)
 
 
 def yeo_johnson_likelihood(n: Column, variance: Column, log_sum: Column, lam: Column) -> Column:

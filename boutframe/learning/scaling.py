@@ -17,6 +17,7 @@ NORMAL_ABOVE = 0.05
 GRID_POINTS = 21
 COARSE_STEP = 0.5
 GRID_CENTRE = 1.0
+CONSTANT_BELOW = 1e-12
 
 
 def numeric_features(df: DataFrame, exclude: list[str]) -> list[str]:
@@ -53,19 +54,24 @@ def yeo_johnson_lambdas(df: DataFrame, features: list[str], rounds: int = 3) ->
     last step is 0.005 after three rounds.
     """
     spark = df.sparkSession
-    best = spark.createDataFrame([(f, GRID_CENTRE) for f in features], "feature string, lam double")
-    half = GRID_POINTS // 2
+    # The logarithm is shared by all grid points, so it is a column of its own.
+    sized = unpivoted(df, features).select(
+        "feature", F.signum("x").alias("sign"), F.log1p(F.abs("x")).alias("log_size")
+    )
+    # The step is a column too, so all rounds run the same generated code.
+    offsets = [i - GRID_POINTS // 2 for i in range(GRID_POINTS)]
+    tries = [F.col("lam") + F.col("step") * i for i in offsets]
+    best = dict.fromkeys(features, GRID_CENTRE)
     for done in range(rounds):
         step = COARSE_STEP / 10**done
-        tries = [F.col("lam") + (i - half) * step for i in range(GRID_POINTS)]
-        spread = unpivoted(df, features).join(
-            small_enough(best, rows=len(features), columns=2), "feature"
-        )
-        scored = spread.groupBy("feature", "lam").agg(
-            F.count("x").cast("double").alias("n"),
-            F.sum(dist.signed_log(F.col("x"))).alias("log_sum"),
+        rows = [(feature, lam, step) for feature, lam in best.items()]
+        centres = spark.createDataFrame(rows, "feature string, lam double, step double")
+        around = sized.join(small_enough(centres, rows=len(rows), columns=3), "feature")
+        scored = around.groupBy("feature", "lam", "step").agg(
+            F.count("sign").cast("double").alias("n"),
+            F.sum(F.col("sign") * F.col("log_size")).alias("log_sum"),
             *[
-                F.var_pop(dist.yeo_johnson(F.col("x"), lam)).alias(f"var_{i}")
+                F.var_pop(dist.signed_power(F.col("sign"), F.col("log_size"), lam)).alias(f"var_{i}")
                 for i, lam in enumerate(tries)
             ],
         )
@@ -78,10 +84,10 @@ def yeo_johnson_lambdas(df: DataFrame, features: list[str], rounds: int = 3) ->
             )
             for i, lam in enumerate(tries)
         ]
+        # One row per feature comes to the driver.
         chosen = scored.select("feature", F.array_max(F.array(*options))["lam"].alias("lam"))
-        # One row per feature: small enough to pass through the driver between rounds.
-        best = spark.createDataFrame(chosen.collect(), "feature string, lam double")
-    return best
+        best = {r["feature"]: r["lam"] for r in chosen.collect()}
+    return spark.createDataFrame(list(best.items()), "feature string, lam double")
 
 
 def fit_scaling(df: DataFrame, features: list[str], rounds: int = 3) -> DataFrame:
@@ -111,10 +117,11 @@ def fit_scaling(df: DataFrame, features: list[str], rounds: int = 3) -> DataFram
 
 
 def standardised(value: Column, mean: float | None, sigma: float | None) -> Column:
-    """Population z-score; a spread of zero counts as one."""
+    """Population z-score; a spread of zero, up to rounding, counts as one."""
     if mean is None:
         return F.lit(None).cast("double")
-    return (value - F.lit(mean)) / F.lit(sigma if sigma else 1.0)
+    constant = sigma <= CONSTANT_BELOW * max(1.0, abs(mean))
+    return (value - F.lit(mean)) / F.lit(1.0 if constant else sigma)
 
 
 def scaled_columns(params: DataFrame, features: list[str]) -> dict[str, Column]:

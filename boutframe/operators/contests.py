@@ -36,12 +36,13 @@ def attach_boxscores(games: DataFrame, boxscores: DataFrame, as_of: date) -> Dat
     """Left-join box scores by id; contests without usable stats keep null stats.
 
     The usability test is part of the join condition, so future and unscored contests
-    find no match instead of being joined and blanked.
+    find no match instead of being joined and blanked. Their ids stay as join keys:
+    nulling them would send every such contest to one task.
     """
     wanted = [f"{side}_{stat}" for side in SIDES for stat in fv.BOXSCORE_STATS]
-    keyed = games.withColumn("stats_id", F.when(stats_usable(as_of), F.col("boxscore_id")))
     stats = boxscores.select(F.col("boxscore_id").alias("stats_id"), *wanted)
-    return keyed.join(stats, "stats_id", "left").drop("stats_id")
+    match = (F.col("boxscore_id") == F.col("stats_id")) & stats_usable(as_of)
+    return games.join(stats, match, "left").drop("stats_id")
 
 
 def side_row(side: str, with_stats: bool) -> Column:

@@ -27,6 +27,7 @@ from boutframe.operators import ratings as rt
 from boutframe.operators import reshape as rs
 from boutframe.plans.domain import AS_OF, CURRENT_WEEK, SPAN, Domain, clean_code, pick
 from boutframe.plans.jobs import Build, Inputs
+from boutframe.session import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -496,7 +497,7 @@ def yeo_johnson_fitted(spark, root):
         F.log1p(F.col("o_totalprice")).alias("log_price"),
         (F.col("o_custkey") % 97 - 40).cast("double").alias("signed"),
     )
-    return rounded(scaling.yeo_johnson_lambdas(prices, prices.columns), 4)
+    return rounded(scaling.yeo_johnson_lambdas(spread(prices), prices.columns), 4)
 
 
 @query

@@ -98,19 +98,29 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_first_csv(spark: SparkSession, paths: Iterable[str | None]) -> DataFrame:
-    """The first readable path of a list, without an accidental index column."""
+def read_first_csv(
+    spark: SparkSession, paths: Iterable[str | None], schema: T.StructType | None = None
+) -> DataFrame:
+    """The first readable path of a list, without an accidental index column.
+
+    Types are inferred by an extra pass unless ``schema`` names the columns to keep.
+    """
     tried = [p for p in paths if p]
     for path in tried:
         try:
-            found = spark.read.option("header", True).option("inferSchema", True).csv(path)
+            names = spark.read.option("header", True).csv(path).columns
         except AnalysisException as problem:
             if problem.getCondition() == "PATH_NOT_FOUND":
                 continue
             raise
-        first = found.columns[0]
-        blank = first in ("", "_c0") or first.lower().startswith("unnamed")
-        return found.drop(first) if blank else found
+        blank = names[0] in ("", "_c0") or names[0].lower().startswith("unnamed")
+        if schema is None:
+            found = spark.read.option("header", True).option("inferSchema", True).csv(path)
+            return found.drop(found.columns[0]) if blank else found
+        declared = {f.name: f for f in schema}
+        in_file = [declared.get(n, T.StructField(n, T.StringType())) for n in names]
+        found = spark.read.schema(T.StructType(in_file)).option("header", True).csv(path)
+        return found.select(*[n for n in names if n in declared])
     raise FileNotFoundError(f"none of {tried} exists")
 
 

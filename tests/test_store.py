@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boutframe import schemas
 from boutframe.session import shared_folder, written
@@ -67,6 +68,8 @@ def test_first_existing_source(spark, tmp_path):
     assert store.read_first_csv(spark, paths[3:]).first()["team1"] == "SF"
     (tmp_path / "d.csv").write_text(",team1\n0,KC\n")
     assert store.read_first_csv(spark, [str(tmp_path / "d.csv")]).columns == ["team1"]
+    declared = store.read_first_csv(spark, paths[2:], T.StructType.fromDDL("team1 string, x double"))
+    assert declared.columns == ["team1", "x"] and declared.first()["x"] == 1.0
     with pytest.raises(FileNotFoundError):
         store.read_first_csv(spark, paths[:2])
 
