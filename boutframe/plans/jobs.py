@@ -19,6 +19,7 @@ from boutframe.operators.lines import season_lines
 from boutframe.operators.rankings import season_rankings
 from boutframe.operators.ratings import season_ratings
 from boutframe.session import written
+from boutframe.sources import store
 
 
 @dataclass
@@ -47,6 +48,8 @@ class Build:
     as_of: date
     current_season: int
     current_week: int
+    facts_path: str | None = None
+    rebuild_facts: bool = False
 
     @cached_property
     def games(self) -> DataFrame:
@@ -54,8 +57,21 @@ class Build:
 
     @cached_property
     def facts(self) -> DataFrame:
+        """Entity facts; kept between runs at ``facts_path``, where one is given.
+
+        Of a kept table only missing partitions and those around the current week are
+        computed again.
+        """
         facts = ct.team_games(self.games, self.inputs.boxscores, self.as_of)
-        return written(facts, "facts")
+        if self.facts_path is None:
+            return written(facts, "facts")
+        spark = facts.sparkSession
+        kept = None if self.rebuild_facts else store.read_if_present(spark, self.facts_path)
+        if kept is not None:
+            due = store.due_for_refresh(self.as_of)
+            facts = store.rows_to_refresh(facts, kept, due, self.span.max_steps)
+        store.refresh_partitions(facts, self.facts_path, F.lit(True))
+        return spark.read.parquet(self.facts_path)
 
     @cached_property
     def schedule(self) -> DataFrame:

@@ -76,3 +76,7 @@ RATINGS = T.StructType(
 )
 
 RANKINGS_RAW = T.StructType([*STEP, *_fields(T.StringType(), ["metric", "label", "value"])])
+
+DIVISIONS = T.StructType(_fields(T.StringType(), ["abbr", "division"]))
+
+CODES = T.StructType(_fields(T.StringType(), ["alias", "abbr"]))

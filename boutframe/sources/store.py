@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutframe.functions import calendar as cal
+from boutframe.operators.lookups import small_enough
 
 
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
@@ -70,6 +71,15 @@ def refresh_partitions(df: DataFrame, path: str, keep: Column) -> None:
     )
 
 
+def rows_to_refresh(df: DataFrame, stored: DataFrame, due: Column, max_steps: int) -> DataFrame:
+    """Rows of ``df`` whose step is ``due`` or has no rows in the stored table yet."""
+    present = stored.select("season", "week").distinct()
+    missing = df.where(~due).join(
+        small_enough(present, rows=max_steps, columns=2), ["season", "week"], "left_anti"
+    )
+    return df.where(due).unionByName(missing)
+
+
 def due_for_refresh(as_of: date, skip_current: bool = False, force: bool = False) -> Column:
     """Steps to recompute: the current season's weeks at most one away from today's."""
     today = F.lit(as_of)

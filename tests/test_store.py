@@ -94,6 +94,15 @@ def test_refresh_touches_only_due_partitions(spark, tmp_path):
     assert newer.where(store.due_for_refresh(today, force=True)).count() == 12
 
 
+def test_missing_partitions_are_refreshed_too(spark, tmp_path):
+    path, today = str(tmp_path / "p"), date(2024, 9, 25)
+    steps = spark.sql("SELECT 2024 AS season, explode(sequence(1, 6)) AS week, 1 AS v")
+    store.refresh_partitions(steps, path, F.col("week") != 1)
+    due = store.due_for_refresh(today)
+    rows = store.rows_to_refresh(steps, spark.read.parquet(path), due, max_steps=18)
+    assert sorted(r["week"] for r in rows.collect()) == [1, 3, 4, 5]
+
+
 def test_records_and_nan(spark):
     df = store.from_records(spark, [{"season": 2024, "week": 1, "away_abbr": "a"}], schemas.SCHEDULE_RECORD)
     assert df.first()["home_abbr"] is None and df.schema == schemas.SCHEDULE_RECORD
