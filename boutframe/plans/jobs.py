@@ -18,7 +18,7 @@ from boutframe.operators import form as fm
 from boutframe.operators.lines import season_lines
 from boutframe.operators.rankings import season_rankings
 from boutframe.operators.ratings import season_ratings
-from boutframe.session import written
+from boutframe.session import written, written_together
 from boutframe.sources import store
 
 
@@ -52,8 +52,15 @@ class Build:
     rebuild_facts: bool = False
 
     @cached_property
-    def games(self) -> DataFrame:
-        return written(self.inputs.games, "games")
+    def written_stages(self) -> dict[str, DataFrame]:
+        """Schedule and, unless kept elsewhere, facts: both read the games alone."""
+        stages = {"schedule": ct.numbered_schedule(self.inputs.games)}
+        if self.facts_path is None:
+            stages["facts"] = self.computed_facts()
+        return written_together(stages)
+
+    def computed_facts(self) -> DataFrame:
+        return ct.team_games(self.inputs.games, self.inputs.boxscores, self.as_of)
 
     @cached_property
     def facts(self) -> DataFrame:
@@ -62,9 +69,9 @@ class Build:
         Of a kept table only missing partitions and those around the current week are
         computed again.
         """
-        facts = ct.team_games(self.games, self.inputs.boxscores, self.as_of)
         if self.facts_path is None:
-            return written(facts, "facts")
+            return self.written_stages["facts"]
+        facts = self.computed_facts()
         spark = facts.sparkSession
         kept = None if self.rebuild_facts else store.read_if_present(spark, self.facts_path)
         if kept is not None:
@@ -75,7 +82,7 @@ class Build:
 
     @cached_property
     def schedule(self) -> DataFrame:
-        return written(ct.numbered_schedule(self.games), "schedule")
+        return self.written_stages["schedule"]
 
     @cached_property
     def coded_facts(self) -> DataFrame:
