@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutframe.llm import exact, mixture
+from boutframe.llm import exact, mixture, packing, tokencount
 from boutframe.llm.tables import table
+from boutframe.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -25,12 +36,25 @@ def op3_mix_sources(spark, root):
     return mixture.mix(table(spark, root, "documents")).drop("copies")
 
 
+@query
+def op5_best_fit_pack(spark, root):
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(table(spark, root, "documents"), tokenizer_path())
+
+
 @query
 def op7_exact_dedup(spark, root):
     """Groups of equal texts, the largest id staying."""
     return exact.exact_groups(table(spark, root, "documents"), digest_all=True)
 
 
+@query
+def op10_token_counts(spark, root):
+    """Token counts of all documents, through a cache of this run's own."""
+    cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
+    return tokencount.token_counts(table(spark, root, "documents"), tokenizer_path(), cache)
+
+
 ORACLE_SQL["op7_exact_dedup"] = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
