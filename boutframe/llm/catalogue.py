@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutframe.llm import exact, mixture, packing, tokencount
+from boutframe.llm import exact, mixture, packing, tokencount, warc
 from boutframe.llm.tables import table
 from boutframe.session import shared_folder
 
@@ -30,6 +30,12 @@ def query(fn):
     return fn
 
 
+@query
+def op1_warc_round_trip(spark, root):
+    """All pages as WARC records, as read back from the archives."""
+    return warc.round_trip(table(spark, root, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+
+
 @query
 def op3_mix_sources(spark, root):
     """The words that a mix of all sources takes of each document."""
