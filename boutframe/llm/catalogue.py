@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutframe.llm import exact, mixture, packing, tokencount, warc
+from boutframe.llm import exact, mixture, nearest, packing, tokencount, warc
 from boutframe.llm.tables import table
 from boutframe.session import shared_folder
 
@@ -36,6 +36,13 @@ def op1_warc_round_trip(spark, root):
     return warc.round_trip(table(spark, root, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
 
 
+@query
+def op2_nearest_neighbours(spark, root):
+    """The ten nearest vectors of every hundredth one."""
+    vectors = table(spark, root, "embeddings")
+    return nearest.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 @query
 def op3_mix_sources(spark, root):
     """The words that a mix of all sources takes of each document."""
