@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutframe.llm import exact, mixture, nearest, packing, tokencount, warc
+from boutframe.llm import exact, mixture, nearest, packing, setsketch, tokencount, warc
 from boutframe.llm.tables import table
 from boutframe.session import shared_folder
 
@@ -55,6 +55,12 @@ def op5_best_fit_pack(spark, root):
     return packing.pack(table(spark, root, "documents"), tokenizer_path())
 
 
+@query
+def op6_setsketch_dedup(spark, root):
+    """Groups of documents whose five-word shingles agree to 85 % or more."""
+    return setsketch.near_groups(table(spark, root, "documents"))
+
+
 @query
 def op7_exact_dedup(spark, root):
     """Groups of equal texts, the largest id staying."""

@@ -1,20 +1,19 @@
 """Exact duplicates by progressive refinement: length, then prefix, then the whole text.
 
-Each round leaves a *sieve*: a bit per slot of a fixed number of slots, set where at least two
-texts agree so far. A sieve has at most ``SLOTS / 64`` rows whatever the input, so it is
-broadcast and the texts stay where they are read; only (length, hash) pairs are shuffled, summed
+Each round leaves a sieve of what at least two texts agree in so far. It is of a fixed size and
+broadcast, so the texts stay where they are read; only (length, hash) pairs are shuffled, summed
 before. Two groups meeting in a slot cost a needless look at a text, never a wrong result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutframe.llm.sieve import marked, sieve
 from boutframe.llm.tables import ascii_lower
 from boutframe.session import written
 
-SLOTS = 1 << 22
 PREFIX_CHARS = 256
 
 
@@ -37,13 +36,13 @@ def exact_groups(
     rows = rows.withColumn("n_bytes", F.octet_length("text"))
     norm = ascii_lower(F.col("text"))
 
-    by_length = _sieve(rows.groupBy("n_bytes").count(), F.xxhash64("n_bytes"))
-    survivors = _marked(rows, by_length, F.xxhash64("n_bytes"), "same_length")
+    by_length = sieve(rows.groupBy("n_bytes").count().filter("count > 1"), F.xxhash64("n_bytes"))
+    survivors = marked(rows, by_length, F.xxhash64("n_bytes"), "same_length")
 
     head = F.xxhash64("n_bytes", ascii_lower(F.substring("text", 1, prefix_chars)))
     heads = survivors.filter("same_length").select("n_bytes", head.alias("head"))
-    by_head = _sieve(heads.groupBy("n_bytes", "head").count(), F.col("head"))
-    survivors = _marked(
+    by_head = sieve(heads.groupBy("n_bytes", "head").count().filter("count > 1"), F.col("head"))
+    survivors = marked(
         survivors.withColumn("head", F.when(F.col("same_length"), head)), by_head, F.col("head"), "same_head"
     )
 
@@ -81,22 +80,3 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verdicts = exact_groups(docs, id_col, text_col)
     dropped = written(verdicts.filter("not kept").select(F.col(id_col).alias("dropped")).distinct(), "exact-dropped")
     return docs.join(dropped, docs[id_col].eqNullSafe(dropped["dropped"]), "left_anti")
-
-
-def _sieve(counts: DataFrame, slot_of: Column) -> DataFrame:
-    """Words of 64 bits with a bit set for each slot in which a count above one falls."""
-    slot = F.pmod(slot_of, F.lit(SLOTS))
-    return (
-        counts.filter("count > 1")
-        .select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    )
-
-
-def _marked(rows: DataFrame, sieve: DataFrame, slot_of: Column, name: str) -> DataFrame:
-    """``rows`` with the boolean ``name``: whether their slot's bit is set."""
-    slotted = rows.withColumn("slot", F.pmod(slot_of, F.lit(SLOTS)))
-    known = slotted.join(F.broadcast(sieve), F.shiftright(slotted["slot"], 6) == sieve["word"], "left")
-    bit = F.expr("shiftrightunsigned(bits, cast(slot % 64 as int)) & 1L")
-    return known.withColumn(name, F.coalesce(bit == 1, F.lit(False))).select(*rows.columns, name)
