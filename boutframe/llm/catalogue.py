@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutframe.llm import exact, mixture, nearest, packing, setsketch, tokencount, warc
-from boutframe.llm.tables import table
+from boutframe.llm import exact, langid, mixture, nearest, packing, setsketch, tokencount, warc
+from boutframe.llm.tables import held_out, table
 from boutframe.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,14 @@ def op7_exact_dedup(spark, root):
     return exact.exact_groups(table(spark, root, "documents"), digest_all=True)
 
 
+@query
+def op9_language_id(spark, root):
+    """The language of every document, learned from those not held out."""
+    docs = table(spark, root, "documents")
+    identifier = langid.train(docs.filter(~held_out(docs["doc_id"])))
+    return langid.identify(docs, identifier)
+
+
 @query
 def op10_token_counts(spark, root):
     """Token counts of all documents, through a cache of this run's own."""
