@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutframe.llm import exact, langid, mixture, nearest, packing, setsketch, tokencount, warc
+from boutframe.llm import exact, langid, mixture, nearest, packing, setsketch, tokencount, toxicity, warc
 from boutframe.llm.tables import held_out, table
 from boutframe.session import shared_folder
 
@@ -49,6 +49,15 @@ def op3_mix_sources(spark, root):
     return mixture.mix(table(spark, root, "documents")).drop("copies")
 
 
+@query
+def op4_toxicity(spark, root):
+    """Toxicity scores of all documents, learned from the labelled ones not held out."""
+    docs = table(spark, root, "documents")
+    labels = table(spark, root, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    scorer = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, scorer)
+
+
 @query
 def op5_best_fit_pack(spark, root):
     """Pieces of all documents and their places in sequences of 2048 tokens."""
