@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutframe.llm import exact, langid, mixture, nearest, packing, setsketch, tokencount, toxicity, warc
+from boutframe.llm import exact, langid, mixture, nearest, packing, secret_scan, setsketch, tokencount, toxicity, warc
 from boutframe.llm.tables import held_out, table
-from boutframe.session import shared_folder
+from boutframe.session import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -76,6 +76,35 @@ def op7_exact_dedup(spark, root):
     return exact.exact_groups(table(spark, root, "documents"), digest_all=True)
 
 
+#: What makes a labelled finding true: the string is assigned to the name of a credential.
+CREDENTIAL_NAMES = ("token", "secret", "password", "passwd", "key", "apikey", "api_key", "access_key", "credential")
+
+
+@query
+def op8_secret_scan(spark, root):
+    """Candidates of all documents with the forest's score; the strings themselves as digests.
+
+    No table labels secrets, so findings of documents not held out are labelled by their context:
+    true where the quoted string is assigned to the name of a credential and is no number.
+    """
+    docs = table(spark, root, "documents")
+    found = secret_scan.described(secret_scan.candidates(docs), docs)
+    named = F.coalesce(F.col("before2").isin(*CREDENTIAL_NAMES), F.lit(False)) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
+    found = found.withColumn("label", (named & ~F.col("candidate").rlike("^[0-9]+$")).cast("int"))
+    found = written(found.withColumn("held_out", held_out(F.col("id"))), "secret-found")
+    scanner = secret_scan.train(found.filter("NOT held_out"))
+    return secret_scan.scan(found, scanner).select(
+        F.col("id").alias("doc_id"),
+        "start",
+        F.length("candidate").cast("long").alias("length"),
+        F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"),
+        "held_out",
+        "label",
+        "score",
+        "predicted",
+    )
+
+
 @query
 def op9_language_id(spark, root):
     """The language of every document, learned from those not held out."""

@@ -15,15 +15,15 @@ SLOTS = 1 << 22
 def sieve(rows: DataFrame, hashed: Column) -> DataFrame:
     """Words of 64 bits, with a bit set for the slot of each row's hash."""
     return (
-        rows.select(F.pmod(hashed, F.lit(SLOTS)).alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
+        rows.select(F.pmod(hashed, F.lit(SLOTS)).alias("sieve_slot"))
+        .groupBy(F.shiftright("sieve_slot", 6).alias("sieve_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(sieve_slot % 64 as int)))").alias("sieve_bits"))
     )
 
 
 def marked(rows: DataFrame, words: DataFrame, hashed: Column, name: str) -> DataFrame:
     """``rows`` with the boolean ``name``: whether the bit of their hash is set."""
-    slotted = rows.withColumn("slot", F.pmod(hashed, F.lit(SLOTS)))
-    known = slotted.join(F.broadcast(words), F.shiftright(slotted["slot"], 6) == words["word"], "left")
-    bit = F.expr("shiftrightunsigned(bits, cast(slot % 64 as int)) & 1L")
+    slotted = rows.withColumn("sieve_slot", F.pmod(hashed, F.lit(SLOTS)))
+    known = slotted.join(F.broadcast(words), F.shiftright(slotted["sieve_slot"], 6) == words["sieve_word"], "left")
+    bit = F.expr("shiftrightunsigned(sieve_bits, cast(sieve_slot % 64 as int)) & 1L")
     return known.withColumn(name, F.coalesce(bit == 1, F.lit(False))).select(*rows.columns, name)
