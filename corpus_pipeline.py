@@ -4,27 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutframe.llm import exact, mixture
-from boutframe.llm.tables import table
+from boutframe.llm import exact, langid, mixture, packing, setsketch
+from boutframe.llm.catalogue import tokenizer_path
+from boutframe.llm.tables import held_out, table
 from boutframe.session import written
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that read as one of the languages learned; others, and texts without letters, go."""
+    return langid.keep_identified(docs, langid.train(docs.filter(~held_out(docs["doc_id"]))))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
     return exact.drop_exact(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id stays."""
+    return setsketch.drop_near(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixture.repeat_documents(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
 STAGES = [
-    ("exact_dedup", exact_dedup),
+    ("identify_language", identify_language),
+    ("drop_exact_copies", drop_exact_copies),
+    ("drop_near_copies", drop_near_copies),
     ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
 ]
 
-#: Language models, sketches and tokenizers are beyond SQL.
+#: Language models, sketches and tokenizers are beyond SQL; a test repeats the stages by brute force.
 ORACLE_SQL = None
 
 
