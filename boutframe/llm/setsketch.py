@@ -141,20 +141,17 @@ def band_hashes(registers: np.ndarray) -> np.ndarray:
     return mixed(codes)
 
 
-def estimated(registers: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
-    """Maximum-likelihood Jaccard similarity of ``one`` with each sketch, set sizes being known.
+def _agreeing(registers: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int):
+    """Sketches that may be linked with ``one``: their places, and the log-likelihood of a similarity.
 
-    The counts of larger, smaller and equal registers are sufficient for it. Pairs whose sizes rule
-    the threshold out, or that agree in too few registers, get 0.
+    Pairs whose sizes rule the threshold out, or that agree in far too few registers, are left out.
+    Given the set sizes, the counts of larger, smaller and equal registers are sufficient.
     """
-    result = np.zeros(len(sizes))
     small, large = np.minimum(sizes, size), np.maximum(sizes, size)
     close = np.flatnonzero(100 * small >= PERCENT * large)
     equal = (registers[close] == one).sum(axis=1)
     agree = equal >= REGISTERS * (cut() - 0.1)
     close, equal = close[agree], equal[agree]
-    if not len(close):
-        return result
     more = (registers[close] > one).sum(axis=1)
     u = sizes[close] / (sizes[close] + size)
     v = 1 - u
@@ -166,7 +163,14 @@ def estimated(registers: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: i
         rest = np.maximum(1 - a - b, 1e-12)
         return more * np.log(a) + (REGISTERS - equal - more) * np.log(b) + equal * np.log(rest)
 
-    low, high = np.zeros(len(close)), np.minimum(u / v, v / u)
+    return close, likelihood, np.minimum(u / v, v / u)
+
+
+def estimated(registers: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
+    """Maximum-likelihood Jaccard similarity of ``one`` with each sketch, 0 for hopeless pairs."""
+    result = np.zeros(len(sizes))
+    close, likelihood, high = _agreeing(registers, sizes, one, size)
+    low = np.zeros(len(close))
     for _ in range(40):  # the likelihood has one peak
         a, b = low + (high - low) / 3, high - (high - low) / 3
         rising = likelihood(a) < likelihood(b)
@@ -175,6 +179,15 @@ def estimated(registers: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: i
     return result
 
 
+def maybe_linked(registers: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
+    """Whether the estimate is at least :func:`cut`: with one peak, whether likelihood rises there."""
+    result = np.zeros(len(sizes), bool)
+    close, likelihood, _ = _agreeing(registers, sizes, one, size)
+    if len(close):
+        result[close] = likelihood(cut() - 1e-4) <= likelihood(cut() + 1e-4)
+    return result
+
+
 def cut() -> float:
     j = PERCENT / 100
     return j - ESTIMATE_MARGIN * (j * (1 - j) / REGISTERS) ** 0.5
@@ -198,7 +211,7 @@ def walked(n: int, neighbours: Callable[[int, np.ndarray], np.ndarray]) -> list[
 
 
 def likely(registers: np.ndarray, sizes: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
-    return lambda node, others: estimated(registers[others], sizes[others], registers[node], sizes[node]) >= cut()
+    return lambda node, others: maybe_linked(registers[others], sizes[others], registers[node], sizes[node])
 
 
 def confirmed(registers: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]):

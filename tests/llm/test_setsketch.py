@@ -119,6 +119,17 @@ def test_estimates_follow_the_similarity(size):
         assert np.std(errors) < 0.055
 
 
+def test_the_short_cut_agrees_with_the_estimate():
+    rng = np.random.default_rng(2)
+    pairs = [pair(rng, 150, j) for j in rng.uniform(0.5, 0.95, 300)]
+    regs = ss.sketches([s for p in pairs for s in p])
+    for k, (x, y) in enumerate(pairs):
+        args = regs[2 * k : 2 * k + 1], np.array([len(x)]), regs[2 * k + 1], len(y)
+        estimate = ss.estimated(*args)[0]
+        if abs(estimate - ss.cut()) > 1e-3:
+            assert ss.maybe_linked(*args)[0] == (estimate >= ss.cut())
+
+
 def test_sketches_merge_and_ignore_company():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 2, 7, 80, 900, 20_000)]
