@@ -54,8 +54,7 @@ def op4_toxicity(spark, root):
     """Toxicity scores of all documents, learned from the labelled ones not held out."""
     docs = table(spark, root, "documents")
     labels = table(spark, root, "labels").filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic")
-    scorer = toxicity.train(docs.select("doc_id", "text").join(labels, "doc_id"))
-    return toxicity.score(docs, scorer)
+    return toxicity.score(docs, toxicity.train(docs, labels))
 
 
 @query
