@@ -15,9 +15,9 @@ from boutframe.operators.lookups import small_enough
 
 NORMAL_ABOVE = 0.05
 GRID_POINTS = 21
-COARSE_STEP = 0.5
-GRID_CENTRE = 1.0
-CONSTANT_BELOW = 1e-12
+START, FIRST_STEP = 1.0, 0.5
+#: Each finer grid has a step so many times smaller, down to this one or below.
+REFINED, LAST_STEP = 10.0, 1e-3
 
 
 def numeric_features(df: DataFrame, exclude: list[str]) -> list[str]:
@@ -47,81 +47,120 @@ def normality(df: DataFrame, features: list[str]) -> DataFrame:
     return tested.withColumn("is_normal", F.coalesce(normal, F.lit(False)))
 
 
-def yeo_johnson_lambdas(df: DataFrame, features: list[str], rounds: int = 3) -> DataFrame:
-    """Maximum-likelihood lambda per feature by grids ten times finer each round.
-
-    Each round tries all grid points of all features in one pass over ``df``; the
-    last step is 0.005 after three rounds.
-    """
-    spark = df.sparkSession
-    # The logarithm is shared by all grid points, so it is a column of its own.
-    sized = unpivoted(df, features).select(
-        "feature", F.signum("x").alias("sign"), F.log1p(F.abs("x")).alias("log_size")
+def power_shapes(df: DataFrame, features: list[str]) -> DataFrame:
+    """Per feature: values, extremes, the side of zero they lie on, their mean log size, a first grid."""
+    size = F.log1p(F.abs("x"))
+    found = unpivoted(df, features).groupBy("feature").agg(
+        F.count("x").cast("double").alias("n"),
+        F.min("x").alias("low"),
+        F.max("x").alias("high"),
+        F.avg(size).alias("mean_size"),
+        F.stddev_pop(size).alias("spread"),
+        F.skewness(size).alias("skew"),
+        F.sum(F.signum("x") * size).alias("log_sum"),
+    )
+    side = F.when(F.col("low") >= 0, 1).when(F.col("high") <= 0, -1).otherwise(0)
+    # To first order, this power takes the skewness out of values of one sign.
+    power = F.col("skew") / F.col("spread") / -3
+    told = (side != 0) & (F.abs(power) < float("inf"))
+    start = F.when(told & (side > 0), power).when(told, F.lit(2.0) - power).otherwise(START)
+    step = F.when(told, F.greatest(F.lit(FIRST_STEP) / 5, F.lit(0.2) / F.col("spread"))).otherwise(FIRST_STEP)
+    return found.select(
+        "feature", "n", "low", "high", "log_sum",
+        start.alias("start"),
+        step.alias("step"),
+        side.alias("side"),
+        F.when(side == 0, 0.0).otherwise(F.col("mean_size")).alias("centre"),
     )
-    # The step is a column too, so all rounds run the same generated code.
-    offsets = [i - GRID_POINTS // 2 for i in range(GRID_POINTS)]
-    tries = [F.col("lam") + F.col("step") * i for i in offsets]
-    best = dict.fromkeys(features, GRID_CENTRE)
-    for done in range(rounds):
-        step = COARSE_STEP / 10**done
-        rows = [(feature, lam, step) for feature, lam in best.items()]
-        centres = spark.createDataFrame(rows, "feature string, lam double, step double")
-        around = sized.join(small_enough(centres, rows=len(rows), columns=3), "feature")
-        scored = around.groupBy("feature", "lam", "step").agg(
-            F.count("sign").cast("double").alias("n"),
-            F.sum(F.col("sign") * F.col("log_size")).alias("log_sum"),
-            *[
-                F.var_pop(dist.signed_power(F.col("sign"), F.col("log_size"), lam)).alias(f"var_{i}")
-                for i, lam in enumerate(tries)
-            ],
-        )
-        options = [
-            F.struct(
-                dist.yeo_johnson_likelihood(
-                    F.col("n"), F.col(f"var_{i}"), F.col("log_sum"), lam
-                ).alias("fit"),
-                lam.alias("lam"),
-            )
-            for i, lam in enumerate(tries)
-        ]
-        # One row per feature comes to the driver.
-        chosen = scored.select("feature", F.array_max(F.array(*options))["lam"].alias("lam"))
-        best = {r["feature"]: r["lam"] for r in chosen.collect()}
-    return spark.createDataFrame(list(best.items()), "feature string, lam double")
 
 
-def fit_scaling(df: DataFrame, features: list[str], rounds: int = 3) -> DataFrame:
-    """One row per feature: kind, lambda, centre and spread of the scaled value.
+def yeo_johnson_lambdas(df: DataFrame, features: list[str]) -> DataFrame:
+    """Maximum-likelihood lambda per feature, with its side and centre.
 
-    ``df`` is read several times; pass a written table.
+    Each round tries ``GRID_POINTS`` lambdas of every feature in one pass over ``df``. While the
+    best is at an edge the grid moves there and doubles its step; else the next one is finer
+    around it, until a parabola through the best three settles the rest. No lambda is out of
+    reach. A feature without two different values keeps lambda 1.
     """
     spark = df.sparkSession
-    verdicts = normality(df, features).select("feature", "is_normal", "mean", "sigma").collect()
-    plain = [v for v in verdicts if v["is_normal"]]
-    skewed = [v["feature"] for v in verdicts if not v["is_normal"]]
-    schema = "feature string, kind string, lam double, mean double, sigma double"
-    fitted = spark.createDataFrame(
-        [(v["feature"], "normal", None, v["mean"], v["sigma"]) for v in plain], schema
-    )
+    kept = ["n", "log_sum", "side", "centre"]
+    schema = "feature string, i int, n double, log_sum double, side int, centre double"
+    shapes = {r["feature"]: r for r in power_shapes(df, features).collect()}  # one row per feature
+    done = {f: START for f, r in shapes.items() if r["low"] is None or r["low"] == r["high"]}
+    open_ = {f: (r["start"], r["step"]) for f, r in shapes.items() if f not in done}
+    half = GRID_POINTS // 2
+    values = unpivoted(df, features)
+    while open_:
+        rows = [
+            (f, i, *(shapes[f][c] for c in kept), lam + step * (i - half))
+            for f, (lam, step) in open_.items()
+            for i in range(GRID_POINTS)
+        ]
+        # A row per value and grid point: one small expression compiles better than many.
+        grid = spark.createDataFrame(rows, f"{schema}, lam double")
+        tried = values.join(small_enough(grid, rows=len(rows), columns=7), "feature")
+        moved = dist.centred_power(F.col("x"), F.col("lam"), F.col("side"), F.col("centre"))
+        spreads = tried.groupBy("feature", "i", "n", "log_sum", "lam", "side").agg(F.var_pop(moved).alias("variance"))
+        fit = dist.power_likelihood(F.col("n"), F.col("variance"), F.col("log_sum"), F.col("lam"), F.col("side"))
+        found: dict[str, dict[int, float]] = {f: {} for f in open_}
+        for r in spreads.select("feature", "i", fit.alias("fit")).collect():
+            if r["fit"] is not None:
+                found[r["feature"]][r["i"]] = r["fit"]
+        following = {}
+        for feature, seen in found.items():
+            lam, step = open_[feature]
+            best = max(seen, key=seen.get, default=half)
+            at = lam + step * (best - half)
+            if best in (0, GRID_POINTS - 1):
+                following[feature] = (at, step * 2)
+            elif step > LAST_STEP and seen:
+                following[feature] = (at, step / REFINED)
+            else:
+                done[feature] = at + step * _peak(*(seen.get(best + k) for k in (-1, 0, 1)))
+        open_ = following
+    out = [(f, lam, shapes[f]["side"], shapes[f]["centre"]) for f, lam in done.items()]
+    return spark.createDataFrame(out, "feature string, lam double, side int, centre double")
+
+
+def _peak(left: float | None, middle: float | None, right: float | None) -> float:
+    """Where a parabola through values at -1, 0 and 1 is highest, within half a step."""
+    if left is None or middle is None or right is None or left + right - 2 * middle >= 0:
+        return 0.0
+    return max(-0.5, min(0.5, 0.5 * (left - right) / (left + right - 2 * middle)))
+
+
+def fit_scaling(df: DataFrame, features: list[str]) -> DataFrame:
+    """One row per feature: kind, lambda, side, centre, and mean and spread of the scaled value.
+
+    A feature whose values are all the same is ``constant``: the value is its mean, its spread
+    counts as one. ``df`` is read several times; pass a written table.
+    """
+    spark = df.sparkSession
+    schema = "feature string, kind string, lam double, side int, centre double, mean double, sigma double"
+    verdicts = {r["feature"]: r for r in normality(df, features).select("feature", "is_normal", "mean", "sigma").collect()}
+    shapes = {r["feature"]: r for r in power_shapes(df, features).collect()}
+    constant = {f for f, r in shapes.items() if r["low"] == r["high"]}
+    plain = {f for f, r in verdicts.items() if r["is_normal"]} - constant
+    skewed = [f for f in features if f not in constant | plain]
+    rows = [(f, "constant", None, None, None, shapes[f]["low"], 1.0) for f in constant]
+    rows += [(f, "normal", None, None, None, verdicts[f]["mean"], verdicts[f]["sigma"]) for f in plain]
+    fitted = spark.createDataFrame(rows, schema)
     if not skewed:
         return fitted
-    lambdas = yeo_johnson_lambdas(df, skewed, rounds)
-    moved = unpivoted(df, skewed).join(small_enough(lambdas, len(skewed), 2), "feature")
-    y = dist.yeo_johnson(F.col("x"), F.col("lam"))
-    powered = moved.groupBy("feature", "lam").agg(
+    lambdas = yeo_johnson_lambdas(df, skewed)
+    moved = unpivoted(df, skewed).join(small_enough(lambdas, len(skewed), 4), "feature")
+    y = dist.centred_power(F.col("x"), F.col("lam"), F.col("side"), F.col("centre"))
+    powered = moved.groupBy("feature", "lam", "side", "centre").agg(
         F.avg(y).alias("mean"), F.stddev_pop(y).alias("sigma")
     )
-    return fitted.unionByName(
-        powered.select("feature", F.lit("power").alias("kind"), "lam", "mean", "sigma")
-    )
+    return fitted.unionByName(powered.select("*", F.lit("power").alias("kind")))
 
 
 def standardised(value: Column, mean: float | None, sigma: float | None) -> Column:
-    """Population z-score; a spread of zero, up to rounding, counts as one."""
+    """Population z-score; a spread of zero counts as one."""
     if mean is None:
         return F.lit(None).cast("double")
-    constant = sigma <= CONSTANT_BELOW * max(1.0, abs(mean))
-    return (value - F.lit(mean)) / F.lit(1.0 if constant else sigma)
+    return (value - F.lit(mean)) / F.lit(sigma or 1.0)
 
 
 def scaled_columns(params: DataFrame, features: list[str]) -> dict[str, Column]:
@@ -130,7 +169,7 @@ def scaled_columns(params: DataFrame, features: list[str]) -> dict[str, Column]:
     for row in params.collect():
         x = F.col(row["feature"]).cast("double")
         if row["kind"] == "power" and row["lam"] is not None:
-            x = dist.yeo_johnson(x, F.lit(row["lam"]))
+            x = dist.centred_power(x, F.lit(row["lam"]), F.lit(row["side"]), F.lit(row["centre"]))
         out[row["feature"]] = standardised(x, row["mean"], row["sigma"])
     return {f: out[f] for f in features}
 

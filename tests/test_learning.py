@@ -1,6 +1,7 @@
 import math
 import random
 import statistics
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,15 +76,72 @@ def test_scaled_features_are_standard(samples):
     features = ["bell", "skewed", "gappy", "flat"]
     params = scaling.fit_scaling(samples, features)
     kinds = {r["feature"]: r["kind"] for r in params.collect()}
-    assert kinds == {"bell": "normal", "skewed": "power", "gappy": "power", "flat": "power"}
+    assert kinds == {"bell": "normal", "skewed": "power", "gappy": "power", "flat": "constant"}
     out = scaling.apply_scaling(samples, params, features)
     r = out.agg(*[F.avg(f).alias(f) for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
     for f in ("bell", "skewed", "gappy"):
         assert r[f] == pytest.approx(0.0, abs=1e-9) and r[f"s_{f}"] == pytest.approx(1.0, abs=1e-9)
-    assert r["flat"] == pytest.approx(0.0, abs=1e-9)
+    assert r["flat"] == 0.0 and r["s_flat"] == 0.0
     assert out.where("gappy IS NULL").count() == 80
 
 
+def plain_likelihood(xs, lam):
+    """In whole numbers of 200 digits, as differences of the plain transform are lost in doubles."""
+    with localcontext() as precise:
+        precise.prec = 200
+        xs, lam = [Decimal(x) for x in xs], Decimal(lam)
+        ys = [((x + 1) ** lam - 1) / lam if x >= 0 else -((1 - x) ** (2 - lam) - 1) / (2 - lam) for x in xs]
+        mean = sum(ys) / len(ys)
+        variance = sum((y - mean) ** 2 for y in ys) / len(ys)
+        logs = sum((1 if x >= 0 else -1) * (1 + abs(x)).ln() for x in xs)
+        return float(-len(xs) * variance.ln() / 2 + (lam - 1) * logs)
+
+
+def test_lambdas_have_no_bound_and_the_highest_likelihood(spark):
+    rng = random.Random(8)
+    n = 400
+    df = columns(
+        spark,
+        far=[1500 + 40 * rng.expovariate(1) for _ in range(n)],
+        below=[-1500 - 40 * rng.expovariate(1) for _ in range(n)],
+        steep=[1e4 - 30 * rng.expovariate(1) for _ in range(n)],
+        narrow=[i * 1e-14 for i in range(n)],
+        both=[rng.expovariate(1) - 0.6 for _ in range(n)],
+        zeros=[float(i % 3 == 0) for i in range(n)],
+    )
+    rows = {c: [r[c] for r in df.collect()] for c in df.columns}
+    found = {r["feature"]: r["lam"] for r in scaling.yeo_johnson_lambdas(df, df.columns).collect()}
+    assert found["far"] < -20 and found["below"] > 22 and found["steep"] > 50
+    for f in ("far", "below", "steep", "both", "zeros"):
+        best = plain_likelihood(rows[f], found[f])
+        for off in (-1.0, -0.1, -0.003, 0.003, 0.1, 1.0):
+            assert plain_likelihood(rows[f], found[f] + off) < best
+    params = scaling.fit_scaling(df, df.columns)
+    out = scaling.apply_scaling(df, params, df.columns)
+    r = out.agg(*[F.avg(f).alias(f) for f in df.columns], *[F.stddev_pop(f).alias(f"s_{f}") for f in df.columns]).first()
+    for f in df.columns:
+        assert r[f] == pytest.approx(0.0, abs=1e-8) and r[f"s_{f}"] == pytest.approx(1.0, abs=1e-8)
+
+
+def test_constants_are_zero(spark):
+    df = columns(spark, c=[1523.7] * 3000, n=[-0.1] * 3000, gap=[None] * 3000)
+    params = scaling.fit_scaling(df, ["c", "n", "gap"])
+    out = scaling.apply_scaling(df, params, ["c", "n", "gap"]).distinct().collect()
+    assert [tuple(r) for r in out] == [(0.0, 0.0, None)]
+
+
+def test_new_values_of_the_other_sign_keep_their_order(spark):
+    train = columns(spark, x=[5.0 + i % 17 + (i % 5) ** 2 for i in range(500)])
+    params = scaling.fit_scaling(train, ["x"])
+    new = columns(spark, x=[-40.0, -3.0, -0.5, 0.0, 0.5, 3.0, 40.0])
+    out = [r["x"] for r in scaling.apply_scaling(new, params, ["x"]).collect()]
+    assert out == sorted(out) and len(set(out)) == 7
+    lam = params.first()["lam"]
+    plain = [r["y"] for r in new.select(dist.yeo_johnson(F.col("x"), F.lit(lam)).alias("y")).collect()]
+    slopes = [(b - a) / (d - c) for a, b, c, d in zip(out, out[1:], plain, plain[1:])]
+    assert slopes == pytest.approx([slopes[0]] * 6, rel=1e-6)
+
+
 def test_population_sigma(spark):
     xs = [1.0, 2.0, 4.0, 9.0]
     z = columns(spark, x=xs).select(scaling.standardised(F.col("x"), statistics.fmean(xs), statistics.pstdev(xs))).collect()
