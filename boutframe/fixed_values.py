@@ -83,9 +83,6 @@ DIVISIONS = {
 }
 
 # --- statistics ------------------------------------------------------------
-BASE_COLUMNS = [
-    "team_name", "team_abbr", "points_scored", "points_allowed", "game_won", "game_lost",
-]
 BOXSCORE_STATS = [
     "first_downs", "rush_attempts", "rush_yards", "rush_touchdowns",
     "pass_completions", "pass_attempts", "pass_yards", "pass_touchdowns",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutframe import fixed_values as fv
@@ -80,13 +80,19 @@ class SeasonSpan:
     """The contiguous seasons a job processes.
 
     ``weeks`` overrides the league rule with one number of weeks for every season.
+    Seasons after that of ``as_of`` have not begun, so a span may not reach beyond it.
     The span fixes how many (season, week) steps can exist, whatever the data size.
     """
 
     first: int
     last: int
+    as_of: date
     weeks: int | None = None
-    as_of: date = date(2025, 12, 31)
+
+    def __post_init__(self):
+        begun = self.as_of.year - (self.as_of.month <= fv.SEASON_END_MONTH)
+        if not self.first <= self.last <= begun:
+            raise ValueError(f"no span from {self.first} to {self.last}: season {begun} is the last begun by {self.as_of}")
 
     @property
     def max_steps(self) -> int:
@@ -100,15 +106,10 @@ class SeasonSpan:
     def covers(self, season: Column, week: Column) -> Column:
         return season.between(self.first, self.last) & week.between(1, self.weeks_of(season))
 
-    def calendar(self, spark: SparkSession) -> DataFrame:
-        """One row per step: season, week, week_start."""
-        seasons = spark.range(self.first, self.last + 1).select(F.col("id").cast("int").alias("season"))
-        return step_calendar(seasons, self)
-
 
-def step_calendar(seasons: DataFrame, span: SeasonSpan) -> DataFrame:
-    """Weeks and their start dates for each row of ``seasons``."""
-    count = span.weeks_of(F.col("season"))
+def step_calendar(seasons: DataFrame, as_of: date) -> DataFrame:
+    """Weeks and their start dates for each row of ``seasons`` that has begun by ``as_of``."""
+    count = weeks_in_season(F.col("season"), as_of)
     return (
         seasons.where(count > 0)
         .select("season", F.explode(F.sequence(F.lit(1), count)).alias("week"))

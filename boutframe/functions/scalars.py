@@ -58,8 +58,13 @@ def strip_record(label: Column) -> Column:
 
 
 # --- numbers and times -----------------------------------------------------
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def number_or_zero(text: Column) -> Column:
-    return F.coalesce(text.try_cast("double"), F.lit(0.0))
+    """A decimal number as a double; any other text, and what is beyond doubles, as 0.0."""
+    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.coalesce(F.when(F.abs(value) < float("inf"), value), F.lit(0.0))
 
 
 def clock_seconds(clock: Column) -> Column:

@@ -48,10 +48,16 @@ def combine(
     lines: DataFrame,
     divisions: DataFrame,
 ) -> DataFrame:
-    """All inputs of a contest in one row, in the final layout."""
-    rated = rating_differences(join_ratings(join_rankings(features, rankings), ratings))
-    lined = join_lines(rated, lines).withColumnsRenamed(fv.RATING_NAMES)
-    laid_out = final_layout(same_group(lined, divisions))
+    """All inputs of a contest in one row, in the final layout.
+
+    What rankings, ratings, lines and divisions add is put together on the contests' keys alone;
+    the wide feature rows are then joined once. Pass written features, as they are read twice.
+    """
+    keys = ["season", "week", "away_abbr", "home_abbr"]
+    pairs = join_ratings(features.select(*keys).distinct(), ratings)
+    pairs = same_group(join_lines(rating_differences(pairs), lines), divisions)
+    wide = features.join(join_rankings(pairs, rankings), keys)
+    laid_out = final_layout(wide.withColumnsRenamed(fv.RATING_NAMES))
     return laid_out.withColumns(
         {name: modern_name(F.col(name)) for name in ("away_name", "home_name")}
     )

@@ -59,4 +59,5 @@ def contest_features(schedule: DataFrame, facts: DataFrame, span: SeasonSpan) ->
     form = entity_form(facts, schedule, span)
     first_step = (F.col("season") == span.first) & (F.col("week") == 1)
     wanted = schedule.where(span.covers(F.col("season"), F.col("week")) & ~first_step)
-    return join_results(stat_differences(join_form(wanted, form)), facts)
+    # Results first, while rows are narrow; differences last, so no exchange carries them.
+    return stat_differences(join_form(join_results(wanted, facts), form))

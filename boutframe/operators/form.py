@@ -49,10 +49,6 @@ def averaged_columns(facts: DataFrame) -> list[str]:
     return sorted(numeric - NOT_AVERAGED)
 
 
-def form_columns(means: list[str]) -> list[str]:
-    return sorted([*means, *RATES])
-
-
 # --- one group-by ----------------------------------------------------------
 def ratio_sums(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Sums of the ratio inputs; only-null sums are 0, rows without an entity drop."""

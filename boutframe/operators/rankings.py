@@ -18,10 +18,11 @@ def html_items(
 ) -> DataFrame:
     """Items of the first container on each page: position, text label, numeric value.
 
-    Pages without the container give no rows. The whole page text is searched.
+    Tag names count in any case. Pages without the container give no rows. The whole page
+    text is searched.
     """
-    first = F.regexp_extract(html, rf"(?s)<{container}[^>]*>(.*?)</{container}>", 1)
-    items = F.regexp_extract_all(first, F.lit(rf"(?s)<{item}[^>]*>(.*?)</{item}>"), F.lit(1))
+    first = F.regexp_extract(html, rf"(?is)<{container}\b[^>]*>(.*?)</{container}\s*>", 1)
+    items = F.regexp_extract_all(first, F.lit(rf"(?is)<{item}\b[^>]*>(.*?)</{item}\s*>"), F.lit(1))
     others = [c for c in pages.columns if c != html]
     exploded = pages.select(*others, F.posexplode(items).alias("pos", "item"))
     label = F.trim(F.regexp_replace("item", r"<[^>]*>", ""))

@@ -7,33 +7,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def flatten_map(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
-    """(path, leaf) rows of a nested map of any depth; ``path`` is an array of keys.
-
-    The depth is read from the schema: one explode per map level, nothing shuffles.
-    """
+def _exploded(df: DataFrame, column: str, keep: list[str], levels: int | None) -> DataFrame:
+    """One explode per map level, ``levels`` of them or all; ``path`` gathers the keys."""
     level: T.DataType = df.schema[column].dataType
     out = df.select(*keep, F.array().cast("array<string>").alias("path"), F.col(column).alias("leaf"))
-    while isinstance(level, T.MapType):
+    while isinstance(level, T.MapType) and levels != 0:
         out = out.select(*keep, "path", F.explode("leaf").alias("step", "leaf")).select(
             *keep,
             F.concat("path", F.array(F.col("step").cast("string"))).alias("path"),
             "leaf",
         )
         level = level.valueType
+        levels = None if levels is None else levels - 1
     return out
 
 
+def flatten_map(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
+    """(path, leaf) rows of a nested map of any depth; ``path`` is an array of keys.
+
+    The depth is read from the schema: one explode per map level, nothing shuffles.
+    """
+    return _exploded(df, column, keep, None)
+
+
+def map_depth(kind: T.DataType) -> int:
+    return 1 + map_depth(kind.valueType) if isinstance(kind, T.MapType) else 0
+
+
 def nested_table(
     df: DataFrame, column: str, keep: list[str], names: list[str] | None = None
 ) -> DataFrame:
     """Rows keyed by the outer path, columns named by the innermost key.
 
-    With ``names`` the columns are fixed and no pass is needed to find them.
+    With ``names`` the columns are read from the innermost maps, and nothing shuffles; rows
+    without any of them stay. Without, a pass finds the names and a shuffle gathers each row.
     """
+    depth = map_depth(df.schema[column].dataType)
+    if names is not None and depth:
+        outer = _exploded(df, column, keep, depth - 1).filter(F.size("leaf") > 0)
+        inner: Column = F.map_from_entries(
+            F.transform(F.map_entries("leaf"), lambda e: F.struct(e["key"].cast("string"), e["value"]))
+        )
+        return outer.select(*keep, "path", *[F.element_at(inner, F.lit(n)).alias(n) for n in names])
     flat = flatten_map(df, column, keep)
-    inner: Column = F.element_at("path", -1)
-    outer = F.slice("path", F.lit(1), F.size("path") - 1)
-    keyed = flat.select(*keep, outer.alias("path"), inner.alias("name"), "leaf")
-    grouped = keyed.groupBy(*keep, "path")
-    return grouped.pivot("name", names).agg(F.max("leaf"))
+    last: Column = F.element_at("path", -1)
+    rest = F.slice("path", F.lit(1), F.size("path") - 1)
+    keyed = flat.select(*keep, rest.alias("path"), last.alias("name"), "leaf")
+    return keyed.groupBy(*keep, "path").pivot("name").agg(F.max("leaf"))

@@ -21,6 +21,7 @@ from boutframe.functions.calendar import SeasonSpan
 
 AS_OF = date(2001, 11, 14)
 SPAN = SeasonSpan(first=1995, last=2001, weeks=18, as_of=AS_OF)
+FIRST_DAY, LAST_DAY = f"{SPAN.first}-01-01", f"{SPAN.last}-12-31 23:59:59"
 NAMED = 32  # entities that carry a fixed team code
 LEGACY_NAMES = list(fv.MODERN_NAMES)
 PLACES = {code: place for place, code in fv.PLACE_CODES.items()}
@@ -113,7 +114,7 @@ class Domain:
     def entity_stats(self) -> DataFrame:
         """The box-score figures per season, week and entity key, whole-valued."""
         items = self.table("lineitem").where(
-            F.col("l_shipdate").between("1995-01-01", "2001-12-31 23:59:59")
+            F.col("l_shipdate").between(FIRST_DAY, LAST_DAY)
         )
         season, week = step_of(F.col("l_shipdate"))
         ret, acc, done = (
@@ -175,7 +176,7 @@ class Domain:
         points = F.sum(F.floor("o_totalprice")) % 60
         return (
             self.table("orders")
-            .where(F.col("o_orderdate").between("1995-01-01", "2001-12-31 23:59:59"))
+            .where(F.col("o_orderdate").between(FIRST_DAY, LAST_DAY))
             .select(season, week, key, "o_totalprice")
             .groupBy("season", "week", "key")
             .agg(points.cast("double").alias("points"))
@@ -222,8 +223,14 @@ class Domain:
 
     # --- ratings -----------------------------------------------------------
     def ratings(self) -> DataFrame:
-        """Raw ratings: one row per contest, home side first, codes in mixed spellings."""
+        """Raw ratings, a row per contest, codes in mixed spellings.
+
+        Some contests have none, some have the away side first, some a date out of season.
+        """
         away, home, week = F.col("away_key"), F.col("home_key"), F.col("week")
+        first = F.when((away + home * 2) % 5 == 0, away).otherwise(home)
+        second = away + home - first
+        day = F.when((away + home) % 31 == 0, F.date_add("day", 200)).otherwise(F.col("day"))
 
         def padded(key: Column) -> Column:
             return F.when(key % 3 == 0, F.concat(F.lit(" "), market_code(key), F.lit(" "))).otherwise(
@@ -238,16 +245,16 @@ class Domain:
                 F.concat(F.lit("QB "), (key % 97).cast("string")).alias(f"qb{n}"),
             ]
 
-        return self.pairings().select(
-            F.date_format("day", "yyyy-MM-dd").alias("date"),
+        return self.pairings().where((away + home + week) % 29 != 0).select(
+            F.date_format(day, "yyyy-MM-dd").alias("date"),
             "season",
             week,
             F.when((away + home) % 10 == 0, 1).otherwise(0).alias("neutral"),
             F.lit(None).cast("string").alias("playoff"),
-            padded(home).alias("team1"),
-            padded(away).alias("team2"),
-            *figures(home, 1),
-            *figures(away, 2),
+            padded(first).alias("team1"),
+            padded(second).alias("team2"),
+            *figures(first, 1),
+            *figures(second, 2),
             F.lit(None).cast("double").alias("surface_factor"),
         )
 
@@ -276,13 +283,10 @@ class Domain:
 
     def closing_quotes(self) -> DataFrame:
         """The last quote of each contest."""
-        quotes = self.quotes()
-        latest = F.max(F.struct("o_orderkey", *[c for c in QUOTE_RULES])).alias("last")
-        return (
-            quotes.groupBy("season", "week", "home_team", "away_team")
-            .agg(latest)
-            .select("season", "week", "home_team", "away_team", "last.*")
-        )
+        # One buffer of doubles per column keeps the aggregate hashed, where a struct would sort.
+        latest = [F.max_by(c, "o_orderkey").alias(c) for c in QUOTE_RULES]
+        keys = ["season", "week", "home_team", "away_team"]
+        return self.quotes().groupBy(*keys).agg(F.max("o_orderkey").alias("o_orderkey"), *latest)
 
     def code_lookup(self) -> DataFrame:
         """Market spelling to standard code per entity; some entities are not listed."""
@@ -313,7 +317,7 @@ class Domain:
         """
         season, week = step_of(F.col("l_shipdate"))
         items = self.table("lineitem").where(
-            F.col("l_shipdate").between("1995-01-01", "2001-12-31 23:59:59")
+            F.col("l_shipdate").between(FIRST_DAY, LAST_DAY)
         )
         key, total = F.col("key"), F.col("total")
         place = F.coalesce(F.when(key < NAMED, pick(LABELS, key)), own_code(key))
@@ -332,7 +336,12 @@ class Domain:
                 "season", "week",
                 pick(METRICS, F.col("m")).alias("metric"),
                 F.when(rated, F.concat(place, record)).otherwise(place).alias("label"),
-                F.when(total % 11 == 0, "--").otherwise((total / 4).cast("string")).alias("value"),
+                F.when(total % 11 == 0, "--")
+                .when(total % 13 == 0, "NaN")
+                .when(total % 17 == 0, "1.5d")
+                .when(total % 19 == 0, "Infinity")
+                .otherwise((total / 4).cast("string"))
+                .alias("value"),
             )
         )
 

@@ -45,12 +45,15 @@ class Build:
 
     inputs: Inputs
     span: SeasonSpan
-    as_of: date
     current_season: int
     current_week: int
     facts_path: str | None = None
     rebuild_facts: bool = False
 
+    @property
+    def as_of(self) -> date:
+        return self.span.as_of
+
     @cached_property
     def written_stages(self) -> dict[str, DataFrame]:
         """Schedule and, unless kept elsewhere, facts: both read the games alone."""
@@ -74,10 +77,11 @@ class Build:
         facts = self.computed_facts()
         spark = facts.sparkSession
         kept = None if self.rebuild_facts else store.read_if_present(spark, self.facts_path)
+        due = F.lit(True)
         if kept is not None:
             due = store.due_for_refresh(self.as_of)
-            facts = store.rows_to_refresh(facts, kept, due, self.span.max_steps)
-        store.refresh_partitions(facts, self.facts_path, F.lit(True))
+            facts = store.rows_to_refresh(facts, kept, due)
+        store.refresh_partitions(facts, self.facts_path, F.lit(True), due)
         return spark.read.parquet(self.facts_path)
 
     @cached_property

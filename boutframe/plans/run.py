@@ -20,7 +20,7 @@ from boutframe.learning.model import train_and_score
 from boutframe.operators import combine
 from boutframe.operators.lookups import league_divisions
 from boutframe.plans.jobs import Build, Inputs
-from boutframe.session import build_session
+from boutframe.session import build_session, discard_written, written_so_far
 from boutframe.sources import store
 
 
@@ -51,10 +51,15 @@ def build(
     folder: str,
     out: str,
     span: SeasonSpan,
-    as_of: date,
     rebuild_facts: bool = False,
+    keep_versions: int | None = None,
 ) -> DataFrame:
-    """Read the inputs, build all seasons, store the final table and both outputs."""
+    """Read the inputs, build all seasons, store the final table and both outputs.
+
+    Intermediate tables are removed in the end, and older versions of the outputs if
+    ``keep_versions`` says how many stay.
+    """
+    as_of, mark = span.as_of, written_so_far()
     season, week = current_step(spark, as_of)
     groups = optional_table(spark, folder, "divisions", schemas.DIVISIONS)
     inputs = Inputs(
@@ -66,11 +71,12 @@ def build(
         divisions=league_divisions(spark) if groups is None else groups,
         codes=optional_table(spark, folder, "codes", schemas.CODES),
     )
-    job = Build(inputs, span, as_of, season, week, f"{out}/team_games", rebuild_facts)
-    table = store.materialize(spark, f"{out}/all_data", lambda: job.all_data, force=True)
+    job = Build(inputs, span, season, week, f"{out}/team_games", rebuild_facts)
+    table = store.materialize(spark, f"{out}/all_data", lambda: job.all_data, True, keep_versions)
     outputs = {"completed_games": combine.completed(table), upcoming_name(week): combine.to_predict(table, as_of)}
     for name, rows in outputs.items():
-        store.materialize(spark, f"{out}/{name}", lambda rows=rows: rows, force=True)
+        store.materialize(spark, f"{out}/{name}", lambda rows=rows: rows, True, keep_versions)
+    discard_written(spark, mark)
     return table
 
 
@@ -80,12 +86,15 @@ def upcoming_name(week: int) -> str:
 
 def predict(spark: SparkSession, out: str, as_of: date, **search) -> DataFrame:
     """Train on the completed contests, score the upcoming ones, store both results."""
+    mark = written_so_far()
     _, week = current_step(spark, as_of)
     done = store.materialize(spark, f"{out}/completed_games", _missing)
     coming = store.materialize(spark, f"{out}/{upcoming_name(week)}", _missing)
     scored, errors = train_and_score(done, coming, **search)
     store.materialize(spark, f"{out}/holdout_errors", lambda: errors, force=True)
-    return store.materialize(spark, f"{out}/predictions", lambda: scored, force=True)
+    predictions = store.materialize(spark, f"{out}/predictions", lambda: scored, force=True)
+    discard_written(spark, mark)
+    return predictions
 
 
 def _missing() -> DataFrame:
@@ -97,7 +106,7 @@ def main(args: list[str]) -> None:
     if args[0] == "build":
         as_of = date.fromisoformat(args[3])
         last, _ = current_step(spark, as_of)
-        build(spark, args[1], args[2], SeasonSpan(int(args[4]), last, as_of=as_of), as_of)
+        build(spark, args[1], args[2], SeasonSpan(int(args[4]), last, as_of))
     elif args[0] == "predict":
         predict(spark, args[1], date.fromisoformat(args[2]))
     else:

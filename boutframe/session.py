@@ -9,6 +9,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: Tables that :func:`written` has left in the shared folder, until :func:`discard_written`.
+_LEFT: list[str] = []
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -55,16 +57,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition ``df`` when it has fewer partitions than the session has cores.
-
-    For compute-heavy passes over a narrow table held in few files; tables of many
-    files, as on a cluster, come back as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -74,9 +66,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/written/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _LEFT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system its path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written_so_far() -> int:
+    """A mark for :func:`discard_written`."""
+    return len(_LEFT)
+
+
+def discard_written(spark: SparkSession, since: int) -> None:
+    """Remove the intermediate tables written after a mark, once what was made of them is stored."""
+    while len(_LEFT) > since:
+        remove_folder(spark, _LEFT.pop())
+
+
 def written_together(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """:func:`written` for independent tables at once, so one fills the other's idle cores."""
     with ThreadPoolExecutor(len(tables)) as pool:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutframe.functions import calendar as cal
-from boutframe.operators.lookups import small_enough
+from boutframe.session import remove_folder, written
 
 
 def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
@@ -25,13 +25,18 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def materialize(
-    spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False
+    spark: SparkSession,
+    path: str,
+    build: Callable[[], DataFrame],
+    force: bool = False,
+    keep_versions: int | None = None,
 ) -> DataFrame:
     """The stored table, built first when absent, empty or ``force``.
 
     The new version is written to its own folder and then recorded, so a build may
     read the version it replaces and a lost job leaves the old one in place. The
-    result is always read back, so fresh and stored tables have the same types.
+    result is always read back, so fresh and stored tables have the same types. After a build,
+    all but the newest ``keep_versions`` are removed, or none where it is not given.
     """
     current = _current_version(spark, path)
     if current and not force:
@@ -43,40 +48,62 @@ def materialize(
     build().write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
         f"{path}/{version}"
     )
+    if keep_versions is not None:
+        for old in _versions(spark, path)[: -max(1, keep_versions)]:
+            remove_folder(spark, f"{path}/{old}")
     return spark.read.parquet(f"{path}/{version}")
 
 
 def _current_version(spark: SparkSession, path: str) -> str | None:
-    """The newest finished version: a folder with the commit marker Spark leaves."""
+    return max(_versions(spark, path), default=None)
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Finished versions, oldest first: folders with the commit marker Spark leaves."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
-        return None
+        return []
     done = [
         entry.getPath().getName()
         for entry in files.listStatus(folder)
         if files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
     ]
-    return max((name for name in done if name.startswith("v")), default=None)
+    return sorted(name for name in done if name.startswith("v"))
+
 
+def refresh_partitions(df: DataFrame, path: str, keep: Column, due: Column | None = None) -> None:
+    """Overwrite the (season, week) partitions of ``path`` that the rows selected by ``keep`` are in.
 
-def refresh_partitions(df: DataFrame, path: str, keep: Column) -> None:
-    """Overwrite only the (season, week) partitions selected by ``keep``."""
+    Stored partitions that are ``due``, by default those selected, and have no rows any more are
+    removed after the others are written.
+    """
+    spark = df.sparkSession
+    rows = written(df.where(keep), "refresh")
+    # Steps of the calendar, not rows, come to the driver; before writing, as it replaces files.
+    stored = read_if_present(spark, path)
+    before = set() if stored is None else _steps(stored.where(keep if due is None else due))
     (
-        df.where(keep)
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("season", "week")
         .parquet(path)
     )
+    for season, week in before - _steps(rows):
+        remove_folder(spark, f"{path}/season={season}/week={week}")
+
 
+def _steps(df: DataFrame) -> set[tuple[int, int]]:
+    return {tuple(r) for r in df.select("season", "week").distinct().collect()}
 
-def rows_to_refresh(df: DataFrame, stored: DataFrame, due: Column, max_steps: int) -> DataFrame:
-    """Rows of ``df`` whose step is ``due`` or has no rows in the stored table yet."""
+
+def rows_to_refresh(df: DataFrame, stored: DataFrame, due: Column) -> DataFrame:
+    """Rows of ``df`` whose step is ``due`` or has no rows in the stored table yet.
+
+    How the steps present are joined is left to the run-time size check.
+    """
     present = stored.select("season", "week").distinct()
-    missing = df.where(~due).join(
-        small_enough(present, rows=max_steps, columns=2), ["season", "week"], "left_anti"
-    )
+    missing = df.where(~due).join(present, ["season", "week"], "left_anti")
     return df.where(due).unionByName(missing)
 
 

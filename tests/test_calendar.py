@@ -68,13 +68,24 @@ def test_weeks_in_season(one):
     assert one(cal.weeks_in_season(F.lit(2024), today, include_future=True)) == 18
 
 
-def test_span_calendar_covers_every_step(spark):
+def test_step_calendar_covers_every_step(spark):
     span = SeasonSpan(2019, 2022, as_of=date(2022, 12, 1))
-    steps = span.calendar(spark)
+    seasons = spark.createDataFrame([(y,) for y in range(2019, 2024)], "season int")
+    steps = cal.step_calendar(seasons, date(2022, 12, 1))
     assert steps.count() == 17 + 17 + 18 + 18 <= span.max_steps
     assert steps.where("season = 2021 AND week = 18").first()["week_start"] == date(2022, 1, 5)
 
 
+def test_span_needs_a_date_and_ends_with_its_season(one):
+    with pytest.raises(TypeError):
+        SeasonSpan(2003, 2024)
+    with pytest.raises(ValueError):
+        SeasonSpan(2003, 2026, as_of=date(2025, 12, 31))
+    span = SeasonSpan(2003, 2026, as_of=date(2027, 2, 1))  # February belongs to the season before
+    assert one(span.weeks_of(F.lit(2026))) == 18
+    assert one(span.covers(F.lit(2026), F.lit(18))) is True
+
+
 @pytest.mark.parametrize(
     "contest, season, dropped",
     [

@@ -1,3 +1,4 @@
+from datetime import date
 import random
 from collections import defaultdict
 
@@ -9,7 +10,7 @@ from boutframe.functions.calendar import SeasonSpan
 from boutframe.operators import features as ft
 from boutframe.operators import form as fm
 
-SPAN = SeasonSpan(2001, 2003, weeks=6)
+SPAN = SeasonSpan(2001, 2003, as_of=date(2004, 1, 1), weeks=6)
 STAT = "total_yards"
 FACTS = (
     "season int, week int, team_name string, team_abbr string, points_scored double, "

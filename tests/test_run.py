@@ -4,6 +4,7 @@ from boutframe.operators.features import COMPARED
 from boutframe.plans import run
 from boutframe.plans.catalogue import SMALL_SPACE
 from boutframe.plans.domain import AS_OF, SPAN, Domain
+from boutframe.session import written_so_far
 from boutframe.sources import store
 
 ROOT = "/root/testdata/sf0.001"
@@ -19,7 +20,9 @@ def test_build_and_predict(spark, tmp_path):
         table.write.parquet(f"{source}/{name}")
     d.closing_quotes().coalesce(1).write.option("header", True).csv(f"{source}/lines.csv")
 
-    table = run.build(spark, source, out, SPAN, AS_OF)
+    mark = written_so_far()
+    table = run.build(spark, source, out, SPAN)
+    assert written_so_far() == mark
     done = store.read_if_present(spark, f"{out}/completed_games/v000001")
     coming = store.read_if_present(spark, f"{out}/predict/week_11_games_to_predict/v000001")
     assert done.count() == table.where("result IS NOT NULL").count() > 0
@@ -29,12 +32,14 @@ def test_build_and_predict(spark, tmp_path):
     # A second run refreshes the partitions around the current week only.
     facts = f"{out}/team_games"
     before = {f for f in spark.read.parquet(facts).inputFiles()}
-    run.build(spark, source, out, SPAN, AS_OF)
+    run.build(spark, source, out, SPAN, keep_versions=1)
+    assert store.read_if_present(spark, f"{out}/all_data/v000001") is None
     changed = before ^ set(spark.read.parquet(facts).inputFiles())
     assert changed and all("season=2001/week=1" in f for f in changed)
     assert {f.split("week=")[1].split("/")[0] for f in changed} == {"10", "11", "12"}
 
     features = [f"{s}_diff" for s in COMPARED[:4]]
+    coming = store.read_if_present(spark, f"{out}/predict/week_11_games_to_predict/v000002")
     scored = run.predict(spark, out, AS_OF, features=features, space=SMALL_SPACE, draws=1, folds=2)
     assert scored.count() == coming.count()
     assert scored.where(F.col("predicted_home_score").isNull()).count() == 0

@@ -71,6 +71,9 @@ def test_number_or_zero(one):
     assert one(sc.number_or_zero(text("--"))) == 0.0
     assert one(sc.number_or_zero(text("-3.5"))) == -3.5
     assert one(sc.number_or_zero(text(None))) == 0.0
+    for odd in ("NaN", "1.5d", "2f", "Infinity", "-inf", "1e999", "0x10", "1_0", ""):
+        assert one(sc.number_or_zero(text(odd))) == 0.0
+    assert one(sc.number_or_zero(text(" 1e3 "))) == 1000.0 and one(sc.number_or_zero(text(".5"))) == 0.5
 
 
 def test_prediction_line(one):

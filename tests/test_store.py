@@ -94,12 +94,23 @@ def test_refresh_touches_only_due_partitions(spark, tmp_path):
     assert newer.where(store.due_for_refresh(today, force=True)).count() == 12
 
 
+def test_emptied_partitions_are_removed(spark, tmp_path):
+    path, today = str(tmp_path / "p"), date(2024, 9, 25)  # week 4: weeks 3 to 5 are due
+    steps = spark.sql("SELECT 2024 AS season, explode(sequence(1, 6)) AS week, 1 AS v")
+    store.refresh_partitions(steps, path, F.lit(True))
+    fewer = steps.where("week <> 5 AND week <> 6").withColumn("v", F.lit(2))
+    due = store.due_for_refresh(today)
+    store.refresh_partitions(store.rows_to_refresh(fewer, spark.read.parquet(path), due), path, F.lit(True), due)
+    rows = {r["week"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert rows == {1: 1, 2: 1, 3: 2, 4: 2, 6: 1}  # week 6 is not due
+
+
 def test_missing_partitions_are_refreshed_too(spark, tmp_path):
     path, today = str(tmp_path / "p"), date(2024, 9, 25)
     steps = spark.sql("SELECT 2024 AS season, explode(sequence(1, 6)) AS week, 1 AS v")
     store.refresh_partitions(steps, path, F.col("week") != 1)
     due = store.due_for_refresh(today)
-    rows = store.rows_to_refresh(steps, spark.read.parquet(path), due, max_steps=18)
+    rows = store.rows_to_refresh(steps, spark.read.parquet(path), due)
     assert sorted(r["week"] for r in rows.collect()) == [1, 3, 4, 5]
 
 

@@ -95,10 +95,11 @@ def test_html_items(spark):
     pages = [
         (1, "<p>x</p><ul class='a'>\n<li><a href='#'>12.5</a></li><li> Two\nlines </li></ul><ul><li>no</li></ul>"),
         (2, "<p>no list</p>"),
+        (3, "<ulx><li>no</li></ulx><UL><LI>b</LI ><link><li>NaN</li><Li>7</lI></UL >"),
     ]
     df = spark.createDataFrame(pages, "page int, html string")
     rows = [tuple(r) for r in rk.html_items(df).orderBy("page", "pos").collect()]
-    assert rows == [(1, 0, "12.5", 12.5), (1, 1, "Two\nlines", 0.0)]
+    assert rows == [(1, 0, "12.5", 12.5), (1, 1, "Two\nlines", 0.0), (3, 0, "b", 0.0), (3, 1, "NaN", 0.0), (3, 2, "7", 7.0)]
 
 
 # --- lookups and final table -----------------------------------------------
