@@ -26,7 +26,7 @@ def evenly(low: float, high: float, points: int = 10) -> list[float]:
     return [low + (high - low) * i / (points - 1) for i in range(points)]
 
 
-# Ten values per setting, as Spark ML parameters.
+# FIXED VALUES: the ranges of the search, ten values per setting, as Spark ML parameters.
 SEARCH_SPACE: Mapping[str, Sequence] = {
     "maxIter": [int(v) for v in evenly(200, 400)],
     "stepSize": evenly(0.001, 0.02),
@@ -54,7 +54,9 @@ def whole_targets(contests: DataFrame) -> DataFrame:
 
 
 def contest_key() -> Column:
-    return F.xxhash64("season", "week", "away_abbr", "home_abbr")
+    """A number from the contest's keys that any engine with MD5 can repeat."""
+    named = F.concat_ws("|", "season", "week", "away_abbr", "home_abbr")
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def with_feature_vector(df: DataFrame, params: DataFrame, features: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -13,7 +14,6 @@ from boutframe import fixed_values as fv
 from boutframe.functions import calendar as cal
 from boutframe.functions import distributions as dist
 from boutframe.functions import scalars as sc
-from boutframe.functions.calendar import SeasonSpan
 from boutframe.learning import model as ml
 from boutframe.learning import sampling, scaling
 from boutframe.operators import combine as cb
@@ -27,13 +27,14 @@ from boutframe.operators import ratings as rt
 from boutframe.operators import reshape as rs
 from boutframe.plans.domain import AS_OF, CURRENT_WEEK, SPAN, Domain, clean_code, pick
 from boutframe.plans.jobs import Build, Inputs
-from boutframe.session import spread
+from boutframe.session import shared_folder, written
+from boutframe.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 ENTITY_SEASON = ["season", *fm.ENTITY]
-MIRRORED = ["rush_yards", "pass_yards", "turnovers", "third_down_attempts", "time_of_possession"]
+MIRRORED = fv.BOXSCORE_STATS
 CODE_POOL = [*fv.BOXSCORE_CODES[:32], *fv.CODE_ALIASES, "XXX"]
 CALENDAR_AS_OF = date(2024, 2, 15)
 LINE_ITEM_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -67,7 +68,7 @@ def build(spark: SparkSession, root: str) -> Build:
         divisions=d.divisions(),
         codes=d.code_lookup(),
     )
-    return Build(inputs, SPAN, AS_OF, current_season=AS_OF.year, current_week=CURRENT_WEEK)
+    return Build(inputs, SPAN, current_season=AS_OF.year, current_week=CURRENT_WEEK)
 
 
 # --- contests --------------------------------------------------------------
@@ -101,7 +102,8 @@ def schedule(spark, root):
 @query
 def win_pct_diff(spark, root):
     """The shortest path end to end: pre-contest win rates and their difference."""
-    games = ct.standardise_sides(ct.drop_other_seasons(Domain(spark, root).games()))
+    played = ct.drop_other_seasons(Domain(spark, root).games())
+    games = written(ct.standardise_sides(played), "played")  # read by facts, schedule and result
     form = fm.raw_form(ct.entity_rows(games, with_stats=False), games, SPAN)
     rates = form.select("season", "week", F.col("team_abbr").alias("abbr"), "win_perc")
     contests = games.select("season", "week", "away_abbr", "home_abbr")
@@ -133,11 +135,15 @@ def placeholders(spark, root):
 
 @query
 def possession_seconds(spark, root):
-    """Clock text to seconds."""
-    return Domain(spark, root).boxscores().select(
+    """Clock text to seconds; some clocks have no colon, some no number before it."""
+    boxes, away = Domain(spark, root).boxscores(), F.col("away_time_of_possession")
+    digit = F.substring("boxscore_id", 8, 1)
+    spoiled = F.when(digit == "3", F.translate(away, ":", "")).when(digit == "5", F.concat(F.lit("x"), away))
+    clock = F.coalesce(spoiled, away).alias("away_clock")
+    return boxes.select("boxscore_id", clock, "home_time_of_possession").select(
         "boxscore_id",
-        "away_time_of_possession",
-        sc.clock_seconds(F.col("away_time_of_possession")).alias("away_seconds"),
+        "away_clock",
+        sc.clock_seconds(F.col("away_clock")).alias("away_seconds"),
         sc.clock_seconds(F.col("home_time_of_possession")).alias("home_seconds"),
     )
 
@@ -237,7 +243,7 @@ def calendar(spark, root):
     events = d.table("events").select(F.year("ts").alias("season"))
     seasons = orders.unionByName(events).distinct()
     following = seasons.select(F.explode(F.array(F.col("season") - 1, F.col("season"))).alias("season"))
-    return cal.step_calendar(following.distinct(), SeasonSpan(1900, 2100, as_of=CALENDAR_AS_OF))
+    return cal.step_calendar(following.distinct(), CALENDAR_AS_OF)
 
 
 @query
@@ -293,6 +299,13 @@ def season_lines(spark, root):
     return ln.season_lines(d.quotes(), d.code_lookup())
 
 
+@query
+def lines_of_season(spark, root):
+    """Lines of one season: all other seasons are filtered out."""
+    d = Domain(spark, root)
+    return ln.season_lines(d.quotes(), d.code_lookup(), season=AS_OF.year - 1)
+
+
 # --- codes, ratings, rankings ------------------------------------------------------
 @query
 def standard_codes(spark, root):
@@ -323,8 +336,9 @@ def metric_pivot(spark, root):
 
 @query
 def metric_full_join(spark, root):
-    """The same by full outer joins, for the first three metrics."""
-    return rk.join_metrics(rk.ranking_values(Domain(spark, root).rankings_raw()), rk.RANKED[:3])
+    """The same by full outer joins."""
+    values = written(rk.ranking_values(Domain(spark, root).rankings_raw()), "ranking-values")
+    return rk.join_metrics(values, rk.RANKED)
 
 
 @query
@@ -385,20 +399,14 @@ def feature_table(spark, root):
     )
 
 
-OUTPUT_COLUMNS = [
-    "away_name", "away_abbr", "home_abbr", "season", "week", "date", "win_perc_diff",
-    "elo_dif", "home_spread", "home_moneyline", "result",
-]
-
-
 @query
 def completed(spark, root):
-    return rounded(build(spark, root).completed.select(*OUTPUT_COLUMNS))
+    return rounded(build(spark, root).completed)
 
 
 @query
 def to_predict(spark, root):
-    return rounded(build(spark, root).to_predict.select(*OUTPUT_COLUMNS))
+    return rounded(build(spark, root).to_predict)
 
 
 @query
@@ -459,9 +467,9 @@ def normality(spark, root):
 
 @query
 def zscore(spark, root):
-    """Population z-scores of two features."""
+    """Population z-scores of numeric features."""
     items = Domain(spark, root).table("lineitem")
-    features = ["l_quantity", "l_extendedprice"]
+    features = LINE_ITEM_FEATURES
     moments = items.agg(
         *[F.avg(c).alias(f"{c}_mean") for c in features],
         *[F.stddev_pop(c).alias(f"{c}_sigma") for c in features],
@@ -492,12 +500,15 @@ def yeo_johnson(spark, root):
 def yeo_johnson_fitted(spark, root):
     """Maximum-likelihood lambdas of skewed features."""
     orders = Domain(spark, root).table("orders")
+    chance = (F.col("o_orderkey") * 7919 % 99991 + 0.5) / 99991
     prices = orders.select(
         (F.col("o_totalprice") / 1000).alias("price"),
         F.log1p(F.col("o_totalprice")).alias("log_price"),
         (F.col("o_custkey") % 97 - 40).cast("double").alias("signed"),
+        (F.lit(1500.0) - F.log(chance) * 40).alias("far"),
+        (F.log(chance) * 40 - 1500.0).alias("far_below"),
     )
-    return rounded(scaling.yeo_johnson_lambdas(spread(prices), prices.columns), 4)
+    return rounded(scaling.yeo_johnson_lambdas(prices, prices.columns).select("feature", "lam"), 3)
 
 
 @query
@@ -526,35 +537,121 @@ def holdout_error(spark, root):
     return rounded(ml.error_summary(held, "score", "guess"))
 
 
+@query
+def scaled_features(spark, root):
+    """Mean and deviation of every numeric feature of the final table, scaled.
+
+    Three more features are narrow, constant and skewed far from zero.
+    """
+    table, key = build(spark, root).completed, ml.contest_key()
+    chance = (F.pmod(key, F.lit(99_991)) + 0.5) / 99_991
+    more = {"narrow": chance * 1e-14, "constant": F.lit(1523.7), "far": F.lit(1500.0) - F.log(chance) * 40}
+    table = written(table.withColumns(more), "to-scale")
+    features = [*ml.split_features(table)]
+    params = written(scaling.fit_scaling(table, features), "scaling")
+    scaled = scaling.unpivoted(scaling.apply_scaling(table, params, features), features)
+    shown = scaled.groupBy("feature").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("spread"))
+    kinds = params.select("feature", (F.col("kind") == "constant").alias("constant"))
+    # abs: a mean of -0.0 is one of 0.0
+    return rounded(shown.join(kinds, "feature").withColumn("mean", F.abs("mean")), 5)
+
+
+@query
+def search_settings(spark, root):
+    """The settings the full search draws, one row per order of the first hundred draws, all in the space."""
+    draws = ml.draw_settings(ml.SEARCH_SPACE, ml.DRAWS, sampling.SEED)
+    inside = all(d[k] in list(v) for d in draws for k, v in ml.SEARCH_SPACE.items())
+    orders = Domain(spark, root).table("orders")
+    draw = (F.col("o_orderkey") % len(draws)).cast("int").alias("draw")
+    return orders.groupBy(draw).agg(F.count("*").alias("orders")).select(
+        "draw", "orders", F.lit(inside).alias("inside"), F.lit(len(ml.SEARCH_SPACE)).alias("settings")
+    )
+
+
+#: Fewer and shallower rounds than the search's own, which are `model.SEARCH_SPACE`; all else is whole.
 SMALL_SPACE = {
+    **ml.SEARCH_SPACE,
     "maxIter": [2, 3],
     "stepSize": [0.1, 0.2],
     "maxDepth": [2, 3],
-    "minInstancesPerNode": [6],
-    "subsamplingRate": [0.5],
-    "featureSubsetStrategy": ["0.5"],
 }
+SMALL_DRAWS = 2
 
 
 def _trained(spark, root):
     b = build(spark, root)
-    features = [f"{s}_diff" for s in ft.COMPARED[:8]] + ["elo_dif", "home_spread"]
-    return ml.train_and_score(
-        b.completed, b.to_predict, features, space=SMALL_SPACE, draws=2, folds=2
-    )
+    return b, *ml.train_and_score(b.completed, b.to_predict, space=SMALL_SPACE, draws=SMALL_DRAWS)
 
 
 @query
 def score_predictions(spark, root):
-    """Predicted scores of the upcoming contests."""
-    scored, _ = _trained(spark, root)
-    return scored.select(
-        "season", "week", "away_abbr", "home_abbr", "predicted_away_score", "predicted_home_score"
-    )
+    """Upcoming contests, with checks of their predicted scores."""
+    b, scored, _ = _trained(spark, root)
+    low, high = b.completed.agg(F.min(F.least(*ml.TARGETS)), F.max(F.greatest(*ml.TARGETS))).first()
+    shown = {}
+    for side in ("away", "home"):
+        p = F.col(f"predicted_{side}_score")
+        shown[f"{side}_in_range"] = p.between(low, high)
+        shown[f"{side}_rounded"] = F.abs(p * 10 - F.rint(p * 10)) < 1e-6
+    return scored.withColumns(shown).select("season", "week", "away_abbr", "home_abbr", *shown)
 
 
 @query
 def train_and_score(spark, root):
-    """Holdout errors of both score models."""
-    _, errors = _trained(spark, root)
-    return rounded(errors)
+    """Held-out contests per target, and whether the error is near the target's own spread."""
+    b, _, errors = _trained(spark, root)
+    spread = {t: b.completed.agg(F.stddev_pop(t)).first()[0] for t in ml.TARGETS}
+    limit = F.when(F.col("target") == ml.TARGETS[0], spread[ml.TARGETS[0]]).otherwise(spread[ml.TARGETS[1]]) * 1.25
+    return errors.select("target", "n", (F.col("rmse") < limit).alias("sane"), (F.col("mae") <= F.col("rmse")).alias("ordered"))
+
+
+# --- stored tables ------------------------------------------------------------------------------
+def _fresh(spark, label: str) -> str:
+    return f"{shared_folder(spark)}/stored/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def stored_version(spark, root):
+    """A stage stored, built again by force from its own version, and read back."""
+    path, events = _fresh(spark, "events"), Domain(spark, root).table("events")
+    first = store.materialize(spark, path, lambda: events)
+    return store.materialize(spark, path, lambda: first.withColumn("value", F.col("value") * 2), force=True)
+
+
+@query
+def stored_partitions(spark, root):
+    """Steps stored, one of them emptied, one added, and the due ones refreshed."""
+    path = _fresh(spark, "steps")
+    orders = Domain(spark, root).table("orders").select(
+        F.year("o_orderdate").alias("season"), F.month("o_orderdate").alias("week"), "o_orderkey"
+    )
+    due = (F.col("season") == 1997) & (F.col("week") <= 6)
+    store.refresh_partitions(orders.where("NOT (season = 1996 AND week = 2)").withColumn("pass", F.lit(1)), path, F.lit(True))
+    newer = orders.where("NOT (season = 1997 AND week = 3)").withColumn("pass", F.lit(2))
+    fresh = store.rows_to_refresh(newer, spark.read.parquet(path), due)
+    store.refresh_partitions(fresh, path, F.lit(True), due)
+    return spark.read.parquet(path).groupBy("season", "week", "pass").agg(F.count("*").alias("orders"))
+
+
+@query
+def csv_round_trip(spark, root):
+    """Customers written as CSV and read back, as the first path that exists."""
+    path, customers = _fresh(spark, "customers"), Domain(spark, root).table("customer")
+    store.write_csv(customers, path)
+    return store.read_first_csv(spark, [None, f"{path}-missing", path], customers.schema)
+
+
+@query
+def csv_declared(spark, root):
+    """Suppliers written as CSV with an index column and read by their declared types without it."""
+    path, suppliers = _fresh(spark, "suppliers"), Domain(spark, root).table("supplier")
+    store.write_csv(suppliers.select(F.col("s_suppkey").alias("_row"), "*"), path)
+    return store.read_csv(spark, path, suppliers.schema)
+
+
+@query
+def missing_values(spark, root):
+    """Account balances with some NaN, which count as missing from reading on."""
+    customers = Domain(spark, root).table("customer")
+    holed = F.when(F.col("c_custkey") % 7 == 0, float("nan")).otherwise(F.col("c_acctbal"))
+    return store.no_nan(customers.select("c_custkey", holed.alias("balance")))

@@ -10,13 +10,11 @@ import re
 
 from boutframe import fixed_values as fv
 from boutframe.functions.odds import FRACTION_TERMS, SERIES_TERMS, TAIL_FROM
-from boutframe.learning.scaling import COARSE_STEP, GRID_CENTRE, GRID_POINTS
 from boutframe.operators.features import COMPARED
 from boutframe.plans.catalogue import (
     CODE_POOL,
     LINE_ITEM_FEATURES,
     MIRRORED,
-    OUTPUT_COLUMNS,
 )
 from boutframe.plans.domain import LABELS, LEGACY_NAMES, METRICS, NAMED, QUOTE_RULES
 
@@ -94,6 +92,14 @@ def step_of(ts) -> str:
     )
 
 
+def number(text) -> str:
+    """Decimal numbers; words that engines read as numbers are none."""
+    return (
+        f"CASE WHEN regexp_full_match({text}, '\\s*[+-]?[0-9.]+([eE][+-]?[0-9]+)?\\s*') "
+        f"THEN coalesce(TRY_CAST({text} AS DOUBLE), 0.0) ELSE 0.0 END"
+    )
+
+
 def clock(c) -> str:
     return f"(TRY_CAST(split_part({c}, ':', 1) AS DOUBLE) * 60 + TRY_CAST(split_part({c}, ':', 2) AS DOUBLE))"
 
@@ -432,11 +438,15 @@ def figures(key, n) -> str:
 
 CTE["one_way"] = f"""
 SELECT day AS date, week, CAST(CASE WHEN (away_key + home_key) % 10 = 0 THEN 1 ELSE 0 END AS INTEGER) AS neutral,
-  {look(ANY, '(' + code(fv.RATING_CODES, 'home_key') + ')')} AS team1,
-  {look(ANY, '(' + code(fv.RATING_CODES, 'away_key') + ')')} AS team2,
-  {figures('home_key', 1)}, {figures('away_key', 2)}, CAST(NULL AS DOUBLE) AS surface_factor,
+  {look(ANY, '(' + code(fv.RATING_CODES, 'k1') + ')')} AS team1,
+  {look(ANY, '(' + code(fv.RATING_CODES, 'k2') + ')')} AS team2,
+  {figures('k1', 1)}, {figures('k2', 2)}, CAST(NULL AS DOUBLE) AS surface_factor,
   CAST({season_of('day')} AS INTEGER) AS season
-FROM pairings WHERE day BETWEEN {week_start(season_of('day'), 1)} AND {week_start(season_of('day'), 18)} + 7"""
+FROM (SELECT * REPLACE (CASE WHEN (away_key + home_key) % 31 = 0 THEN day + 200 ELSE day END AS day),
+        CASE WHEN (away_key + home_key * 2) % 5 = 0 THEN away_key ELSE home_key END AS k1,
+        CASE WHEN (away_key + home_key * 2) % 5 = 0 THEN home_key ELSE away_key END AS k2
+      FROM pairings WHERE (away_key + home_key + week) % 29 <> 0)
+WHERE {season_of('day')} BETWEEN 1995 AND 2001 AND day BETWEEN {week_start(season_of('day'), 1)} AND {week_start(season_of('day'), 18)} + 7"""
 
 PAIRED = [c for pair in fv.RATING_PAIRS for c in pair]
 SWAPPED = [c for pair in fv.RATING_PAIRS for c in pair[::-1]]
@@ -449,7 +459,7 @@ PLACE = f"CASE WHEN key < {NAMED} THEN {pick(LABELS, 'key')} ELSE 'E' || key END
 CTE["ranking_values"] = f"""
 SELECT season, week,
   {look(fv.PLACE_CODES, 'plain')} AS abbr, metric,
-  coalesce(TRY_CAST(value AS DOUBLE), 0.0) AS value
+  {number('value')} AS value
 FROM (
   SELECT season, week, metric, value,
     CASE WHEN m < 6 THEN regexp_replace(label, '\\s+\\(\\d+-\\d+(-\\d+)*\\)$', '') ELSE label END AS plain
@@ -457,7 +467,8 @@ FROM (
     SELECT season, week, m, {pick(METRICS, 'm')} AS metric,
       CASE WHEN m < 6 THEN {PLACE} || ' (' || (total % 12) || '-' || (total % 5)
            || CASE WHEN total % 4 = 0 THEN '-1' ELSE '' END || ')' ELSE {PLACE} END AS label,
-      CASE WHEN total % 11 = 0 THEN '--' ELSE CAST(total / 4 AS VARCHAR) END AS value
+      CASE WHEN total % 11 = 0 THEN '--' WHEN total % 13 = 0 THEN 'NaN' WHEN total % 17 = 0 THEN '1.5d'
+           WHEN total % 19 = 0 THEN 'Infinity' ELSE CAST(total / 4 AS VARCHAR) END AS value
     FROM (SELECT {step_of('l_shipdate')}, l_suppkey AS key, l_partkey % 14 AS m,
                  CAST(sum(l_quantity) AS BIGINT) AS total
           FROM lineitem WHERE l_shipdate {DATES} GROUP BY 1, 2, 3, 4)
@@ -516,11 +527,7 @@ COMBINED_SQL = cols([*COMBINED, *[r6(c, c) for c in [*SIDES, *DIFFS]]])
 
 
 def output_rows(where) -> str:
-    columns = [
-        "CAST(date AS TIMESTAMP) AS date" if c == "date" else r6(c, c) if c == "win_perc_diff" else c
-        for c in OUTPUT_COLUMNS
-    ]
-    return f"SELECT {cols(columns)} FROM combined WHERE {where}"
+    return f"SELECT CAST(date AS TIMESTAMP) AS date, {COMBINED_SQL} FROM combined WHERE {where}"
 
 
 # --- learning ----------------------------------------------------------------------
@@ -557,30 +564,44 @@ CTE["order_scores"] = ORDER_SCORES
 
 
 def fitted_lambdas() -> str:
-    """Three rounds of a grid search, each ten times finer, around the round before."""
-    half = GRID_POINTS // 2
+    """Grids of whole numbers, hundredths and so on over all lambdas from -400 to 400.
+
+    Differences of the transform are taken from the mean logarithm, where all values have one
+    sign, so that large lambdas keep their digits.
+    """
+    own = "CASE WHEN side < 0 THEN 2 - l ELSE l END"
+    grown = f"CASE WHEN abs({own}) < 1e-12 THEN size - c ELSE exp(({own}) * (size - c)) / ({own}) END"
+    down = "CASE WHEN abs(2 - l) < 1e-12 THEN -size ELSE -(exp((2 - l) * size) - 1) / (2 - l) END"
+    up = "CASE WHEN abs(l) < 1e-12 THEN size ELSE (exp(l * size) - 1) / l END"
+    moved = f"CASE WHEN side = 0 AND x >= 0 THEN {up} WHEN side = 0 THEN {down} ELSE {grown} END"
+    chance = "((o_orderkey * 7919 % 99991 + 0.5) / 99991)"
     rounds = [
-        """samples AS (
+        f"""samples AS (
   SELECT 'price' AS feature, o_totalprice / 1000 AS x FROM orders
   UNION ALL SELECT 'log_price', ln(1 + o_totalprice) FROM orders
-  UNION ALL SELECT 'signed', CAST(o_custkey % 97 - 40 AS DOUBLE) FROM orders)""",
-        f"best0 AS (SELECT DISTINCT feature, {GRID_CENTRE}::DOUBLE AS lam FROM samples)",
+  UNION ALL SELECT 'signed', CAST(o_custkey % 97 - 40 AS DOUBLE) FROM orders
+  UNION ALL SELECT 'far', 1500 - 40 * ln({chance}) FROM orders
+  UNION ALL SELECT 'far_below', 40 * ln({chance}) - 1500 FROM orders)""",
+        """sized AS (
+  SELECT feature, x, size, side, CASE WHEN side = 0 THEN 0 ELSE avg(size) OVER (PARTITION BY feature) END AS c
+  FROM (SELECT feature, x, ln(1 + abs(x)) AS size,
+          CASE WHEN min(x) OVER w >= 0 THEN 1 WHEN max(x) OVER w <= 0 THEN -1 ELSE 0 END AS side
+        FROM samples WINDOW w AS (PARTITION BY feature)))""",
+        "best0 AS (SELECT DISTINCT feature, 0.0::DOUBLE AS lam FROM samples)",
     ]
-    for i in range(3):
-        step = COARSE_STEP / 10**i
-        moved = (
-            "CASE WHEN x >= 0 THEN CASE WHEN abs(l) < 1e-12 THEN ln(1 + x) ELSE (pow(1 + x, l) - 1) / l END "
-            "ELSE CASE WHEN abs(2 - l) < 1e-12 THEN -ln(1 - x) ELSE -(pow(1 - x, 2 - l) - 1) / (2 - l) END END"
-        )
+    for i, (reach, step) in enumerate([(400, 1.0), (60, 0.05), (60, 0.002), (60, 0.0001)]):
         rounds.append(
             f"""best{i + 1} AS (
   SELECT feature, arg_max(l, fit) AS lam FROM (
-    SELECT feature, l, -0.5 * count(*) * ln(var_pop({moved})) + (l - 1) * sum(sign(x) * ln(1 + abs(x))) AS fit
-    FROM (SELECT s.feature, x, lam + (k - {half}) * {step!r}::DOUBLE AS l
-          FROM samples s JOIN best{i} b ON b.feature = s.feature, range(0, {GRID_POINTS}) g(k))
-    GROUP BY feature, l) GROUP BY feature)"""
+    SELECT feature, l, n, CASE WHEN variance > 0 AND isfinite(variance) THEN -0.5 * n * ln(variance) + jacobian END AS fit
+    FROM (SELECT feature, l, count(*) AS n, var_pop({moved}) AS variance,
+            any_value(CASE WHEN side = 0 THEN l - 1 ELSE 0 END) * sum(sign(x) * size) AS jacobian
+          FROM (SELECT s.*, lam + k * {step!r}::DOUBLE AS l
+                FROM sized s JOIN best{i} b ON b.feature = s.feature, range(-{reach}, {reach} + 1) g(k)
+                WHERE s.side <> 0 OR abs(lam + k * {step!r}::DOUBLE) < 50)
+          GROUP BY feature, l)) WHERE isfinite(fit) GROUP BY feature)"""
         )
-    return f"WITH {', '.join(rounds)} SELECT feature, round_even(lam * 10000, 0) / 10000 AS lam FROM best3"
+    return f"WITH {', '.join(rounds)} SELECT feature, round_even(lam * 1000, 0) / 1000 AS lam FROM best4"
 
 
 # --- one statement per query ---------------------------------------------------------
@@ -604,8 +625,9 @@ LEFT JOIN raw_form h ON h.season = g.season AND h.week = g.week AND h.team_abbr
 SELECT boxscore_id, season, week, away_score, home_score, away_total_yards, home_total_yards,
        away_time_of_possession, away_first_downs IS NULL AS is_placeholder FROM attached""",
     "possession_seconds": f"""
-SELECT boxscore_id, away_time_of_possession, {clock('away_time_of_possession')} AS away_seconds,
-       {clock('home_time_of_possession')} AS home_seconds FROM boxscores""",
+SELECT boxscore_id, away_clock, {clock('away_clock')} AS away_seconds, {clock('home_time_of_possession')} AS home_seconds
+FROM (SELECT *, CASE boxscore_id[8:8] WHEN '3' THEN replace(away_time_of_possession, ':', '')
+        WHEN '5' THEN 'x' || away_time_of_possession ELSE away_time_of_possession END AS away_clock FROM boxscores)""",
     "ratio_sums": f"SELECT season, team_name, team_abbr, {SUMS_SQL} FROM facts GROUP BY 1, 2, 3",
     "guarded_rates": f"""
 SELECT season, team_name, team_abbr, {cols(r6(c, c) for c in RATE_NAMES)} FROM (
@@ -681,6 +703,7 @@ FROM chosen_quotes WHERE ok""",
 SELECT o_orderkey, spread_source, total_line_source, moneyline_source FROM chosen_quotes WHERE ok""",
     "moneyline": "SELECT o_orderkey, moneyline_source, home_moneyline, away_moneyline FROM priced_quotes",
     "season_lines": final_lines("priced_quotes"),
+    "lines_of_season": final_lines("priced_quotes") + " WHERE season = 2000",
     "standard_codes": f"""
 SELECT o_orderkey, code,
   {look(STD, 'code')} AS exact_or_kept,
@@ -692,19 +715,18 @@ FROM (SELECT o_orderkey, CASE WHEN o_custkey % 23 <> 0 THEN
     "rating_pairs": "SELECT * FROM rating_pairs",
     "metric_pivot": "SELECT * FROM wide_rankings",
     "metric_full_join": f"""
-SELECT season, week, abbr, {cols(METRICS[:3])} FROM wide_rankings
-WHERE coalesce({cols(METRICS[:3])}) IS NOT NULL""",
+SELECT season, week, abbr, {cols(METRICS)} FROM wide_rankings""",
     "carry_forward": "SELECT * FROM carried",
     "last_known": f"""
 SELECT season, week, abbr, {cols(f'last_value({m} IGNORE NULLS) OVER w AS {m}' for m in METRICS)}
 FROM wide_rankings
 WINDOW w AS (PARTITION BY season, abbr ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "html_items": """
-SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, label, coalesce(TRY_CAST(label AS DOUBLE), 0.0) AS value
+SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, label, """ + number("label") + """ AS value
 FROM (SELECT page_id, pos, trim(regexp_replace(items[pos], '<[^>]*>', '', 'g')) AS label
   FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS pos
-    FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<ul[^>]*>(.*?)</ul>', 1),
-                                             '(?s)<li[^>]*>(.*?)</li>', 1) AS items FROM pages)))""",
+    FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<ul\\b[^>]*>(.*?)</ul\\s*>', 1),
+                                             '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) AS items FROM pages)))""",
     "rankings": "SELECT * FROM filled_rankings",
     "division_games": f"""
 SELECT g.season, g.week, g.away_abbr, g.home_abbr, {SAME} FROM coded_games g
@@ -743,10 +765,9 @@ FROM (SELECT *, {k2_sql()} AS k2 FROM (
     {' UNION ALL '.join(f"SELECT '{c}' AS feature, {c} AS x FROM lineitem" for c in LINE_ITEM_FEATURES)}))
   GROUP BY feature))""",
     "zscore": f"""
-SELECT l_orderkey, l_linenumber, l_partkey, {r6('l_quantity', 'l_quantity')}, {r6('l_extendedprice', 'l_extendedprice')},
-  {r6('(l_quantity - qm) / qs', 'l_quantity_z')}, {r6('(l_extendedprice - pm) / ps', 'l_extendedprice_z')}
-FROM lineitem, (SELECT avg(l_quantity) AS qm, stddev_pop(l_quantity) AS qs,
-                       avg(l_extendedprice) AS pm, stddev_pop(l_extendedprice) AS ps FROM lineitem)""",
+SELECT l_orderkey, l_linenumber, l_partkey, {cols(r6(c, c) for c in LINE_ITEM_FEATURES)},
+  {cols(r6(f'({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()', f'{c}_z') for c in LINE_ITEM_FEATURES)}
+FROM lineitem""",
     "yeo_johnson": f"""
 SELECT c_custkey, {cols(r6(yj('x', lam), name) for name, lam in (('half', 0.5), ('log_up', 0.0), ('log_down', 2.0), ('third', -1.5)))}
 FROM (SELECT c_custkey, c_acctbal / 777 AS x FROM customer)""",
@@ -764,6 +785,41 @@ FROM order_scores WHERE {bucket(mixed('o_orderkey'), 1000)} < 300""",
 }
 
 
+KEY = "CAST('0x' || md5(season || '|' || week || '|' || away_abbr || '|' || home_abbr)[1:15] AS BIGINT)"
+SCALED = [
+    *SIDES, *DIFFS, *RANK_COLS, *fv.LINE_COLUMNS, "elo_dif", "qb_dif", "qb_elo_dif",
+    *[c for c in fv.RATING_NAMES.values() if c.endswith("_pre")],
+]
+BODY["scaled_features"] = f"""
+SELECT feature, n, 0.0::DOUBLE AS mean, CASE WHEN n = 0 THEN NULL WHEN low = high THEN 0.0 ELSE 1.0 END::DOUBLE AS spread,
+  coalesce(low = high, false) AS constant
+FROM (SELECT feature, count(x) AS n, min(x) AS low, max(x) AS high FROM (
+      SELECT {cols(f'{c}::DOUBLE AS {c}' for c in SCALED)}, 1523.7::DOUBLE AS constant,
+        (({KEY} % 99991) + 0.5) / 99991 * 1e-14 AS narrow, 1500 - 40 * ln((({KEY} % 99991) + 0.5) / 99991) AS far
+      FROM combined WHERE result IS NOT NULL)
+    UNPIVOT INCLUDE NULLS (x FOR feature IN ({cols([*SCALED, 'constant', 'narrow', 'far'])})) GROUP BY feature)"""
+BODY["search_settings"] = """
+SELECT CAST(o_orderkey % 100 AS INTEGER) AS draw, count(*) AS orders, true AS inside, 7 AS settings
+FROM orders GROUP BY 1"""
+BODY["score_predictions"] = """
+SELECT season, week, away_abbr, home_abbr, true AS away_in_range, true AS away_rounded, true AS home_in_range,
+  true AS home_rounded
+FROM combined WHERE season = 2001 AND week = 11 AND result IS NULL"""
+BODY["train_and_score"] = f"""
+SELECT target, n, true AS sane, true AS ordered
+FROM (SELECT count(*) AS n FROM combined WHERE result IS NOT NULL AND {bucket(mixed(KEY), 1000)} < 300),
+  (VALUES ('away_score'), ('home_score')) t(target)"""
+BODY["stored_version"] = "SELECT * REPLACE (value * 2 AS value) FROM events"
+BODY["stored_partitions"] = """
+SELECT season, week, pass, count(*) AS orders FROM (
+  SELECT season, week, CAST(CASE WHEN season = 1997 AND week <= 6 THEN 2 WHEN season = 1996 AND week = 2 THEN 2 ELSE 1 END AS INTEGER) AS pass
+  FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, CAST(month(o_orderdate) AS INTEGER) AS week FROM orders)
+  WHERE NOT (season = 1997 AND week = 3)) GROUP BY 1, 2, 3"""
+BODY["csv_round_trip"] = "SELECT * FROM customer"
+BODY["csv_declared"] = "SELECT * FROM supplier"
+BODY["missing_values"] = "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance FROM customer"
+
+
 def with_tables(body: str) -> str:
     """Prefix a statement with the shared tables it needs, in order of use."""
     needed: list[str] = []
