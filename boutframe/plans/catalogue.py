@@ -613,7 +613,8 @@ def _fresh(spark, label: str) -> str:
 @query
 def stored_version(spark, root):
     """A stage stored, built again by force from its own version, and read back."""
-    path, events = _fresh(spark, "events"), Domain(spark, root).table("events")
+    path = _fresh(spark, "events")
+    events = Domain(spark, root).table("events").withColumn("ts", F.col("ts").cast("timestamp"))
     first = store.materialize(spark, path, lambda: events)
     return store.materialize(spark, path, lambda: first.withColumn("value", F.col("value") * 2), force=True)
 
