@@ -119,6 +119,22 @@ def op10_token_counts(spark, root):
     return tokencount.token_counts(table(spark, root, "documents"), tokenizer_path(), cache)
 
 
+# Base32 from the hexadecimal digest: five digits are twenty bits, that is four letters.
+ORACLE_SQL["op1_warc_round_trip"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS digest FROM pages
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM p
+)
+SELECT page_id, strlen(payload) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(digest, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS BIGINT) + 1, 1)
+    FOR k IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
+
 ORACLE_SQL["op7_exact_dedup"] = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',

@@ -28,7 +28,7 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("name", ["op7_exact_dedup", "op3_mix_sources"])
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 @pytest.mark.parametrize("size", ["0.001", "0.01"])
 def test_whole_table_equals_sql(spark, name, size):
     root = f"/root/testdata/sf{size}"
