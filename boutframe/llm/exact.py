@@ -58,8 +58,8 @@ def exact_groups(
     )
     pool = digests.filter("shared")
     groups = pool.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
-    # One row per group: an adaptive sort-merge join splits the rows of a hot group.
-    grouped = pool.join(groups, "text_sha256")
+    # A written side of one row per group: an adaptive sort-merge join splits a hot group's rows.
+    grouped = pool.join(written(groups, "exact-groups"), "text_sha256")
     alone = digests.filter("not shared").withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long")})
     columns = [
         F.col("id").alias(id_col),
