@@ -9,13 +9,13 @@ not seen calibrate how sure a choice is, and the entropy beyond which a text is
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,7 @@ CALIBRATION = 0.2
 #: below the middle between that and the entropy of documents in other languages.
 REJECT_AT = 8.0
 UNKNOWN = "und"
+RUN_CHARS = 300_000
 
 _U = np.uint64
 _ROLL = _U(0x9E3779B97F4A7C15)
@@ -154,7 +155,19 @@ class Models:
         return out
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per character of each text in each language, its variance, and lengths."""
+        """Cross-entropy per character of each text in each language, its variance, and lengths.
+
+        Texts are worked through in runs of bounded length, so memory follows the longest text.
+        """
+        runs, held = [[]], 0
+        for text in texts:
+            if held > RUN_CHARS:
+                runs, held = [*runs, []], 0
+            runs[-1].append(text)
+            held += len(text or "")
+        return tuple(np.concatenate(parts) for parts in zip(*map(self._score, runs)))
+
+    def _score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         chars, of = codes(texts)
         n = np.bincount(of, minlength=len(texts)) if len(of) else np.zeros(len(texts), int)
         entropy, spread = (np.zeros((len(texts), len(self.languages))) for _ in range(2))
@@ -240,17 +253,15 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     sample = rows.join(F.broadcast(sizes), F.col(lang_col) == F.col("l")).withColumn("place", place / F.col("odds"))
     sample = sample.filter("place < 1").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "place")
     small_batches(labelled.sparkSession)
-    counted = sample.filter(F.col("place") >= CALIBRATION).mapInArrow(_count, "lang string, gram string, n long")
-    # The n-grams of the bounded sample.
-    found = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    by_lang: dict[str, list[tuple[str, int]]] = defaultdict(list)
-    for lang, gram, n in zip(*(found.column(c).to_pylist() for c in ("lang", "gram", "n"))):
-        by_lang[lang].append((gram, n))
-    languages = sorted(by_lang)
+    counted = sample.filter(F.col("place") >= CALIBRATION).mapInArrow(_count, GRAM_SCHEMA)
+    # The n-grams of the bounded sample, as columns of numbers.
+    found = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).toArrow()
+    languages = sorted(pc.unique(found.column("lang")).to_pylist())
     counts = []
     for lang in languages:
-        table = np.array([[ord(c) for c in g] for g, _ in by_lang[lang]], np.uint32)
-        counts.append((table, np.array([n for _, n in by_lang[lang]], float)))
+        own = found.filter(pc.equal(found.column("lang"), lang))
+        counts.append((unpacked(own.column("head").to_numpy(), own.column("tail").to_numpy()), own.column("n").to_numpy().astype(float)))
+    del found
     if not languages:
         return Identifier(_NoModels())
     identifier = Identifier(Models(languages, counts))
@@ -266,22 +277,40 @@ class _NoModels:
         return np.zeros((len(texts), 0)), np.zeros((len(texts), 0)), np.zeros(len(texts), int)
 
 
+GRAM_SCHEMA = "lang string, head long, tail long, n long"
+
+
+def packed(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of four characters as two numbers each."""
+    wide = table.astype(np.int64)
+    return wide[:, 0] << 32 | wide[:, 1], wide[:, 2] << 32 | wide[:, 3]
+
+
+def unpacked(head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    low = (1 << 32) - 1
+    return np.stack([head >> 32, head & low, tail >> 32, tail & low], axis=1).astype(np.uint32)
+
+
+def gram_counts(names: list[str], texts: list[str | None]) -> pa.RecordBatch:
+    """Counted n-grams of the texts of each name."""
+    out: dict[str, list] = {"lang": [], "head": [], "tail": [], "n": []}
+    for name in sorted(set(names)):
+        chars, of = codes([t for t, x in zip(texts, names) if x == name])
+        head, tail = packed(grams(chars, of))
+        order = np.lexsort((tail, head))
+        head, tail = head[order], tail[order]
+        first = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])][: len(head)])
+        n = np.diff(np.r_[first, len(head)])
+        for column, values in zip(out.values(), (np.full(len(first), name, object), head[first], tail[first], n)):
+            column.append(values)
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+    columns = [pa.array(np.concatenate(v) if v else [], t) for v, t in zip(out.values(), types)]
+    return pa.record_batch(columns, names=list(out))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
     for batch in batches:
-        langs = np.array(batch.column("lang").to_pylist(), object)
-        texts = batch.column("text").to_pylist()
-        for lang in set(langs):
-            chars, of = codes([t for t, x in zip(texts, langs) if x == lang])
-            if not len(chars):
-                continue
-            union, n = _distinct(grams(chars, of), np.ones(len(chars)))
-            names = union.astype("<u4").tobytes().decode("utf-32-le", "replace")
-            total.update({(lang, names[k * ORDER : (k + 1) * ORDER]): int(c) for k, c in enumerate(n)})
-    langs, names = zip(*total) if total else ((), ())
-    yield pa.record_batch(
-        {"lang": pa.array(langs, pa.string()), "gram": pa.array(names, pa.string()), "n": pa.array(total.values(), pa.int64())}
-    )
+        yield gram_counts(batch.column("lang").to_pylist(), batch.column("text").to_pylist())
 
 
 def identify(docs: DataFrame, identifier: Identifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
