@@ -27,10 +27,8 @@ GROWTH = 1.25  # of the radius from round to round
 #: Standard deviations that the collision threshold lies below the mean of a vector at distance R.
 MARGIN = 2.0
 SEED = 7
-BLOCK_ROWS, QUERY_ROWS, MOST_PARTS = 8192, 1024, 20_000
-
-BLOCK_SCHEMA = "block long, dim int, ids binary, vectors binary"
-
+#: A block holds at most so many bytes of vectors, and small tables make a few blocks for each core.
+BLOCK_BYTES, QUERY_BYTES, LEAST_ROWS, BLOCKS_PER_CORE, MOST_PARTS = 16 << 20, 4 << 20, 4096, 2, 20_000
 
 def threshold(projections: int = PROJECTIONS, reach: float = REACH, margin: float = MARGIN) -> int:
     """Collisions asked of a candidate: a vector at distance R has them in all but 2 % of cases."""
@@ -107,24 +105,23 @@ def nearest(
     """
     spark = vectors.sparkSession
     usable = written(_usable(vectors, id_col, vector_col).dropDuplicates(["id"]), "nearest-vectors")
-    asked = _usable(queries, id_col, vector_col).dropDuplicates(["id"])
-    blocks = written(_blocks(usable, BLOCK_ROWS), "nearest-blocks")
-    query_blocks = written(_blocks(asked, QUERY_ROWS), "nearest-queries")
-
-    # A query block for every vector block of its dimension, by the keys of both.
-    v = blocks.select("dim", F.col("block").alias("vector_block"))
-    q = query_blocks.select(F.col("dim").alias("q_dim"), F.col("block").alias("query_block"))
-    pairs = v.join(q, F.col("dim") == F.col("q_dim")).select("vector_block", "query_block")
-    named = query_blocks.select(
-        F.col("block").alias("query_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")
-    )
-    tasks = pairs.join(named, "query_block").join(
-        blocks.withColumnRenamed("block", "vector_block"), "vector_block"
-    )
-    tasks = written(tasks.select("vector_block", "dim", "ids", "vectors", "q_ids", "q_vectors"), "nearest-tasks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    n = min(MOST_PARTS, max(1, tasks.count()))
-    found = tasks.repartition(n).mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
+    asked = written(_usable(queries, id_col, vector_col).dropDuplicates(["id"]), "nearest-asked")
+    total, dim = usable.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    cores = spark.sparkContext.defaultParallelism
+    most = max(1, BLOCK_BYTES // (8 * dim))
+    rows = min(most, max(LEAST_ROWS, -(-total // (BLOCKS_PER_CORE * cores))))
+    blocks = written(_blocks(usable, total, rows), "nearest-blocks")
+    query_blocks = written(_blocks(asked, asked.count(), max(1, QUERY_BYTES // (8 * dim))), "nearest-queries")
+
+    # Each vector block moves once, followed by a copy of every query block of its dimension.
+    held = blocks.select(F.col("block").alias("vector_block"), F.lit(0).alias("kind"), "dim", "ids", "vectors")
+    places = blocks.select(F.col("dim").alias("of_dim"), F.col("block").alias("vector_block"))
+    copies = query_blocks.join(places, F.col("dim") == F.col("of_dim"))
+    copies = copies.select("vector_block", F.lit(1).alias("kind"), "dim", "ids", "vectors")
+    n = min(MOST_PARTS, max(1, blocks.count()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    ordered = held.unionByName(copies).repartition(n, "vector_block").sortWithinPartitions("vector_block", "kind")
+    found = ordered.mapInArrow(_searcher(k), "query_id long, vec_id long, score double")
     nth = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(nth)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -136,9 +133,9 @@ def _usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return kept.filter(F.col("id").isNotNull() & (F.size("v") > 0) & finite & F.expr("exists(v, x -> x <> 0)"))
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows packed in blocks of at most ``size`` vectors of one dimension."""
-    n = min(MOST_PARTS, max(1, -(-rows.count() // size)))
+def _blocks(rows: DataFrame, total: int, size: int) -> DataFrame:
+    """The ``total`` rows packed in blocks of at most ``size`` vectors of one dimension."""
+    n = min(MOST_PARTS, max(1, -(-total // size)))
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
     packed = rows.repartition(n).mapInArrow(_packer(size), "dim int, ids binary, vectors binary")
     return packed.withColumn("block", F.monotonically_increasing_id())
@@ -170,14 +167,15 @@ def _packer(size: int):
 
 def _searcher(k: int):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, index = None, None
+        index = None
         for batch in batches:
             for row in batch.to_pylist():
-                if block != row["vector_block"]:
-                    vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
-                    block, index = row["vector_block"], Index(np.frombuffer(row["ids"], "<i8"), vectors)
-                own = np.frombuffer(row["q_ids"], "<i8")
-                found = index.search(own, np.frombuffer(row["q_vectors"], "<f8").reshape(-1, row["dim"]), k)
+                ids = np.frombuffer(row["ids"], "<i8")
+                vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
+                if row["kind"] == 0:  # a block comes before its queries
+                    index = Index(ids, vectors)
+                    continue
+                own, found = ids, index.search(ids, vectors, k)
                 yield pa.record_batch(
                     [
                         pa.array(np.repeat(own, [len(ids) for ids, _ in found])),

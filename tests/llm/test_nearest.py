@@ -56,8 +56,8 @@ def test_many_blocks_copies_and_scales(spark, monkeypatch):
         rows = [(int(i), [float(c) for c in v], 0) for i, v in enumerate(x.astype(np.float32))]
         df = spark.createDataFrame(rows, SCHEMA)
         want = brute([r[:2] for r in rows], [r[:2] for r in rows if r[0] % 50 == 0])
-        monkeypatch.setattr(nearest, "BLOCK_ROWS", 400)
-        monkeypatch.setattr(nearest, "QUERY_ROWS", 10)
+        monkeypatch.setattr(nearest, "BLOCK_BYTES", 400 * 16 * 8)
+        monkeypatch.setattr(nearest, "QUERY_BYTES", 10 * 16 * 8)
         check(nearest.nearest(df, df.filter("vec_id % 50 = 0")).collect(), want, 0.93)
 
 
