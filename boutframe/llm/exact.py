@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutframe.llm.sieve import marked, sieve
+from boutframe.llm.sieve import marked, sieve, without
 from boutframe.llm.tables import ascii_lower
 from boutframe.session import written
 
@@ -72,11 +72,7 @@ def exact_groups(
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger id repeats; columns unchanged.
-
-    The dropped ids are written first, so that their known size decides between a broadcast and
-    a shuffle join.
-    """
+    """``docs`` without the rows whose text a row with a larger id repeats; columns unchanged."""
     verdicts = exact_groups(docs, id_col, text_col)
-    dropped = written(verdicts.filter("not kept").select(F.col(id_col).alias("dropped")).distinct(), "exact-dropped")
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["dropped"]), "left_anti")
+    dropped = written(verdicts.filter("not kept").select(F.col(id_col).alias("dropped_id")).distinct(), "exact-dropped")
+    return without(docs, docs[id_col], dropped)

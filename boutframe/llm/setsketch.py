@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutframe.llm.components import components
-from boutframe.llm.sieve import marked, sieve
+from boutframe.llm.sieve import marked, sieve, without
 from boutframe.llm.tables import small_batches
 from boutframe.session import written
 
@@ -420,5 +420,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of near duplicates; columns unchanged."""
     verdicts = near_groups(docs, id_col, text_col)
-    dropped = written(verdicts.filter("NOT kept").select(F.col(id_col).alias("dropped")).distinct(), "near-dropped")
-    return docs.join(dropped, docs[id_col] == dropped["dropped"], "left_anti")
+    dropped = written(verdicts.filter("NOT kept").select(F.col(id_col).alias("dropped_id")).distinct(), "near-dropped")
+    return without(docs, docs[id_col], dropped)

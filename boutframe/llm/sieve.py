@@ -27,3 +27,15 @@ def marked(rows: DataFrame, words: DataFrame, hashed: Column, name: str) -> Data
     known = slotted.join(F.broadcast(words), F.shiftright(slotted["sieve_slot"], 6) == words["sieve_word"], "left")
     bit = F.expr("shiftrightunsigned(sieve_bits, cast(sieve_slot % 64 as int)) & 1L")
     return known.withColumn(name, F.coalesce(bit == 1, F.lit(False))).select(*rows.columns, name)
+
+
+def without(rows: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
+    """``rows`` whose key is not among the ids of ``dropped``, a table of one column; nulls are equal.
+
+    Rows that the sieve clears stay where they are; only the others are joined.
+    """
+    (name,) = dropped.columns
+    sifted = marked(rows, sieve(dropped, F.xxhash64(name)), F.xxhash64(key), "sieve_maybe")
+    clear = sifted.filter(~F.col("sieve_maybe")).drop("sieve_maybe")
+    asked = sifted.filter("sieve_maybe").drop("sieve_maybe")
+    return clear.union(asked.join(dropped, key.eqNullSafe(dropped[name]), "left_anti"))
