@@ -30,7 +30,7 @@ CALIBRATION = 0.2
 #: below the middle between that and the entropy of documents in other languages.
 REJECT_AT = 8.0
 UNKNOWN = "und"
-RUN_CHARS = 300_000
+RUN_CHARS = 100_000
 
 _U = np.uint64
 _ROLL = _U(0x9E3779B97F4A7C15)

@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces a worker remembers; beyond that it starts anew. Bounds memory, not results.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
 
 # Letters whose class no version of Unicode disputes; other texts take the library's own split.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
