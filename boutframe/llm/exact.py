@@ -7,7 +7,7 @@ before. Two groups meeting in a slot cost a needless look at a text, never a wro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutframe.llm.sieve import marked, sieve, without
@@ -34,7 +34,6 @@ def exact_groups(
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
     rows = rows.withColumn("n_bytes", F.octet_length("text"))
-    norm = ascii_lower(F.col("text"))
 
     by_length = sieve(rows.groupBy("n_bytes").count().filter("count > 1"), F.xxhash64("n_bytes"))
     survivors = marked(rows, by_length, F.xxhash64("n_bytes"), "same_length")
@@ -46,7 +45,7 @@ def exact_groups(
         survivors.withColumn("head", F.when(F.col("same_length"), head)), by_head, F.col("head"), "same_head"
     )
 
-    whole = F.sha2(norm.cast("binary"), 256)
+    whole = _digest(F.col("text"))
     shared = F.col("same_length") & F.col("same_head")
     digests = written(
         survivors.select(
@@ -73,6 +72,11 @@ def exact_groups(
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text a row with a larger id repeats; columns unchanged."""
-    verdicts = exact_groups(docs, id_col, text_col)
-    dropped = written(verdicts.filter("not kept").select(F.col(id_col).alias("dropped_id")).distinct(), "exact-dropped")
-    return without(docs, docs[id_col], dropped)
+    verdicts = exact_groups(docs, id_col, text_col).filter("not kept")
+    dropped = verdicts.select(F.col(id_col).alias("dropped_id"), F.col("text_sha256").alias("dropped_sha256")).distinct()
+    # Ids may repeat or be null, so a row goes by its text too.
+    return without(docs, [docs[id_col], _digest(docs[text_col])], written(dropped, "exact-dropped"))
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256)

@@ -29,13 +29,14 @@ def marked(rows: DataFrame, words: DataFrame, hashed: Column, name: str) -> Data
     return known.withColumn(name, F.coalesce(bit == 1, F.lit(False))).select(*rows.columns, name)
 
 
-def without(rows: DataFrame, key: Column, dropped: DataFrame) -> DataFrame:
-    """``rows`` whose key is not among the ids of ``dropped``, a table of one column; nulls are equal.
+def without(rows: DataFrame, key: Column | list[Column], dropped: DataFrame) -> DataFrame:
+    """``rows`` whose key is not among the rows of ``dropped``, one column per part; nulls are equal.
 
     Rows that the sieve clears stay where they are; only the others are joined.
     """
-    (name,) = dropped.columns
-    sifted = marked(rows, sieve(dropped, F.xxhash64(name)), F.xxhash64(key), "sieve_maybe")
+    keys = key if isinstance(key, list) else [key]
+    sifted = marked(rows, sieve(dropped, F.xxhash64(*dropped.columns)), F.xxhash64(*keys), "sieve_maybe")
     clear = sifted.filter(~F.col("sieve_maybe")).drop("sieve_maybe")
     asked = sifted.filter("sieve_maybe").drop("sieve_maybe")
-    return clear.union(asked.join(dropped, key.eqNullSafe(dropped[name]), "left_anti"))
+    same = [k.eqNullSafe(dropped[name]) for k, name in zip(keys, dropped.columns, strict=True)]
+    return clear.union(asked.join(dropped, same, "left_anti"))

@@ -68,6 +68,16 @@ def test_dropping_keeps_columns(spark, documents):
     assert sorted({r["doc_id"] for r in kept.collect() if r["doc_id"] is not None}) == want
 
 
+@pytest.mark.parametrize("more", [[], [(20, "same"), (20, "other"), (21, "SAME"), (None, "same"), (None, None)]])
+def test_dropping_goes_by_row(spark, documents, more):
+    rows = ROWS + more
+    best = {norm: keep for _, keep, _, _, norm in brute(rows)}
+    digest = lambda t: hashlib.sha256((t or "").translate(LOWER).encode()).hexdigest()
+    want = sorted(((i, t) for i, t in rows if best[digest(t)] == i), key=str)
+    got = sorted(((r["doc_id"], r["text"]) for r in exact.drop_exact(documents(*rows)).collect()), key=str)
+    assert got == want and (None, "lone") in got
+
+
 def test_sieve_never_loses_a_row(spark):
     held, asked = spark.range(0, 3000, 3), spark.range(3000)
     rows = marked(asked, sieve(held, F.xxhash64("id")), F.xxhash64("id"), "maybe").collect()
