@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutframe.llm import exact, langid, mixture, nearest, packing, secret_scan, setsketch, tokencount, toxicity, warc
@@ -75,21 +75,27 @@ def op7_exact_dedup(spark, root):
     return exact.exact_groups(table(spark, root, "documents"), digest_all=True)
 
 
-#: What makes a labelled finding true: the string is assigned to the name of a credential.
+#: What makes a labelled finding true: it is assigned to the name of a credential.
 CREDENTIAL_NAMES = ("token", "secret", "password", "passwd", "key", "apikey", "api_key", "access_key", "credential")
 
 
+def credential(found: DataFrame) -> Column:
+    """Whether a candidate is assigned to the name of a credential and is no number."""
+    named = F.coalesce(found["name"].isin(*CREDENTIAL_NAMES), F.lit(False))
+    value = F.regexp_replace(found["candidate"], r"^[A-Za-z0-9_\-]*=+(?=[^=])", "")
+    return named & ~value.rlike("^[0-9]+$")
+
+
 @query
 def op8_secret_scan(spark, root):
     """Candidates of all documents with the forest's score; the strings themselves as digests.
 
     No table labels secrets, so findings of documents not held out are labelled by their context:
-    true where the quoted string is assigned to the name of a credential and is no number.
+    true where the string, quoted or not, is assigned to the name of a credential and is no number.
     """
     docs = table(spark, root, "documents")
     found = secret_scan.described(secret_scan.candidates(docs), docs)
-    named = F.coalesce(F.col("before2").isin(*CREDENTIAL_NAMES), F.lit(False)) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
-    found = found.withColumn("label", (named & ~F.col("candidate").rlike("^[0-9]+$")).cast("int"))
+    found = found.withColumn("label", credential(found).cast("int"))
     found = written(found.withColumn("held_out", held_out(F.col("id"))), "secret-found")
     scanner = secret_scan.train(found.filter("NOT held_out"))
     return secret_scan.scan(found, scanner).select(

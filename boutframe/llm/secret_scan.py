@@ -23,6 +23,10 @@ LEAST_CHARS = 16
 CANDIDATE = r"[A-Za-z0-9+/=_\-]{%d,}" % LEAST_CHARS
 #: A plain word is no candidate: it needs a digit, a sign or a capital after another character.
 NO_WORD = r"[0-9+/=_\-]|.[A-Z]"
+#: A name, its closing quote if it has one, and the sign that assigns to it.
+ASSIGNED_NAME = r"([\p{L}\p{N}_\-]+)[\"'`]?(?::=|=>|=|:)"
+#: The same inside a candidate, which may hold equals signs: those at its end are padding.
+OWN_NAME = r"^([A-Za-z0-9_\-]+)=+[^=]"
 #: Labelled findings that the forest is fitted on, about: the bound of the fit.
 FIT_ROWS = 20_000
 TREES, DEPTH, SEED = 30, 8, 11
@@ -32,7 +36,7 @@ PRIOR_ROWS = 4.0
 
 FEATURES = [
     "length", "transitions", "digit_share", "upper_share", "distinct_share", "hex_share", "word_coverage",
-    "path_rate", "before_rate", "before2_rate", "after_rate", "quoted", "assigned",
+    "path_rate", "name_rate", "before_rate", "before2_rate", "after_rate", "quoted", "assigned",
 ]
 
 
@@ -74,8 +78,31 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         _word(F.col("before2")).alias("before2"),
         _word(F.col("after")).alias("after"),
         F.expr("substring(token, inside - 1, 1)").isin('"', "'", "`").cast("double").alias("quoted"),
-        (F.coalesce(F.col("before").isin("=", ":", ":="), F.lit(False)) | F.col("token").rlike(r"^\w+[=:]")).cast("double").alias("assigned"),
+        (
+            F.coalesce(F.col("before").isin("=", ":", ":="), F.lit(False)) | F.col("token").rlike(r"^\w+[=:]") | _name().isNotNull()
+        ).cast("double").alias("assigned"),
+        _name().alias("name"),
+    )
+
+
+def _name() -> Column:
+    """What the candidate is assigned to, in lower case with ``_`` for ``-``, or null.
+
+    The name and its sign are in the token (``name="v"``, ``name=v``), before it (``name: "v"``), or
+    parted by blanks (``name = "v"``, ``name ="v"``).
+    """
+    head = F.expr("substring(token, 1, inside - 1)")
+    found = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    bare = head.rlike("^[\"'`]?$")
+    signed = head.rlike("^(:=|=>|=|:)[\"'`]?$") | (bare & F.col("candidate").startswith("="))
+    name = F.coalesce(
+        found(F.col("candidate"), OWN_NAME),
+        found(head, ASSIGNED_NAME + "[\"'`]?$"),
+        F.when(signed, _word(F.col("before"))),
+        F.when(bare & F.col("before").isin("=", ":", ":=", "=>"), _word(F.col("before2"))),
+        F.when(bare, found(F.col("before"), ASSIGNED_NAME + "$")),
     )
+    return F.translate(F.lower(name), "-", "_")
 
 
 def _word(token: Column) -> Column:
@@ -143,7 +170,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Scanner:
     total, true = labelled.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     usual = true / total if total else 0.0
     rates = {}
-    for c in ("path", "before", "before2", "after"):
+    for c in ("path", "name", "before", "before2", "after"):
         seen = labelled.groupBy(F.col(c).alias(f"of_{c}")).agg(F.sum("label").alias("t"), F.count("*").alias("n"))
         rate = (F.col("t") + PRIOR_ROWS * usual) / (F.col("n") + PRIOR_ROWS)
         rates[c] = written(seen.select(f"of_{c}", rate.alias(f"{c}_rate")), f"secret-rate-{c}")

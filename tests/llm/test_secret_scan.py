@@ -1,12 +1,13 @@
 """Candidates against Python's regular expressions, features, held-out quality, odd tables."""
 
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from boutframe.llm import secret_scan as sc
-from boutframe.llm.catalogue import QUERIES
+from boutframe.llm.catalogue import QUERIES, credential
 from boutframe.llm.tables import table
 
 
@@ -69,3 +70,34 @@ def test_odd_tables(spark, documents):
     assert {r["score"] for r in sc.scan(found, one_kind).collect()} == {0.0}
     nothing = sc.described(sc.candidates(docs.limit(0)), docs.limit(0))
     assert sc.scan(nothing, sc.train(nothing.withColumn("label", F.lit(1)))).collect() == []
+
+
+VALUE = "a1B2c3D4e5F6a7B8c9D0"
+SPELLINGS = ['{} = "v"', '{}="v"', '{}: "v"', '"{}": "v"', '{{"{}":"v"}}', "{}=v", "{} = v", "{}: v", "{}:v", "{} ='v'", "{}= 'v'", "{} =v", "conf.{}='v',", "{} := `v`"]
+
+
+def test_labels_of_all_spellings(spark, documents):
+    texts = [f"we set {s.format(n)} in it".replace("v", VALUE, 1) for s in SPELLINGS for n in ("token", "api_key", "API-KEY", "colour")]
+    true = ["colour" not in t for t in texts]
+    texts += [f"a token {VALUE} here", f"token: see {VALUE}", "token=01234567890123456789", 'key: "01234567890123456789"', f"{VALUE}==", f"x = {VALUE}"]
+    true += [False] * 6
+    docs = documents(*enumerate(texts))
+    found = sc.candidates(docs)
+    rows = found.select("id", credential(found).alias("label"), "assigned", "name").collect()
+    got = {r["id"]: r for r in rows}
+    assert len(rows) == len(texts)
+    assert [(texts[k], got[k]["label"]) for k in range(len(texts))] == list(zip(texts, true))
+    assert all(got[k]["assigned"] == 1 and got[k]["name"] for k in range(len(texts) - 6))
+
+
+def test_forest_keeps_other_spellings(spark, documents):
+    rng = random.Random(5)
+    value = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=24)) + "7x"
+    rows = [(k, f"x{k} {SPELLINGS[k % len(SPELLINGS)].format(rng.choice(['token', 'colour']))} y".replace('v', value(), 1)) for k in range(1400)]
+    docs = documents(*rows)
+    found = sc.described(sc.candidates(docs), docs)
+    found = found.withColumn("label", credential(found).cast("int"))
+    scanner = sc.train(found.filter("id % 4 > 0"))
+    out = sc.scan(found.filter("id % 4 = 0"), scanner).collect()
+    wanted = {k: "token" in t for k, t in rows}
+    assert len(out) == 350 and sum(r["predicted"] == wanted[r["id"]] for r in out) >= 0.95 * len(out)
