@@ -8,8 +8,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutframe.llm import exact, langid, mixture, nearest, packing, secret_scan, setsketch, tokencount, toxicity, warc
-from boutframe.llm.tables import held_out, table
+from boutframe.llm import (
+    exact,
+    langid,
+    merkle,
+    mixture,
+    nearest,
+    packing,
+    secret_scan,
+    setsketch,
+    tokencount,
+    toxicity,
+    twins,
+    warc,
+)
+from boutframe.llm.tables import ascii_lower, held_out, table
 from boutframe.session import shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +138,28 @@ def op10_token_counts(spark, root):
     return tokencount.token_counts(table(spark, root, "documents"), tokenizer_path(), cache)
 
 
+@query
+def op11_merkle_manifest(spark, root):
+    """Proofs of all documents, and what they say of texts that were tampered with."""
+    docs = table(spark, root, "documents")
+    due = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    fields = {f: docs[f] for f in merkle.FIELDS}
+    claimed = F.when(due, merkle.leaf_digest(*(fields | {"text": ascii_lower(docs["text"])}).values()))
+    rows = merkle.build(docs, carry={"claimed": claimed}).proofs()
+    rows = rows.withColumn("folded_root", merkle.folded(F.coalesce("claimed", "leaf"), F.col("path")))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+ORACLE_SQL["op11_merkle_manifest"] = twins.MERKLE
+
 # Base32 from the hexadecimal digest: five digits are twenty bits, that is four letters.
 ORACLE_SQL["op1_warc_round_trip"] = """
 WITH p AS (
