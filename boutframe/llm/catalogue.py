@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutframe.llm import (
+    bpe,
     exact,
     langid,
     merkle,
@@ -158,6 +159,16 @@ def op11_merkle_manifest(spark, root):
     )
 
 
+@query
+def op12_byte_bpe(spark, root):
+    """Token ids of all documents by a rank file, and what they decode to, as digests."""
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary.read(tokenizer_path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = bpe.encode(table(spark, root, "documents"), vocabulary).digests()
+    return found.withColumnRenamed("id", "doc_id")
+
+
 ORACLE_SQL["op11_merkle_manifest"] = twins.MERKLE
 
 # Base32 from the hexadecimal digest: five digits are twenty bits, that is four letters.
