@@ -20,6 +20,7 @@ from boutframe.llm import (
     setsketch,
     tokencount,
     toxicity,
+    trie,
     twins,
     warc,
 )
@@ -169,7 +170,17 @@ def op12_byte_bpe(spark, root):
     return found.withColumnRenamed("id", "doc_id")
 
 
+@query
+def op13_prefix_trie(spark, root):
+    """The prefixes of all conversations, after each took over the beginning of another."""
+    conv = F.col("conv")
+    head = F.crc32(conv.cast("string").cast("binary")) % 6
+    turns = trie.numbered_turns(table(spark, root, "conversations"))
+    return trie.trie(*trie.rebuilt(turns, donor=conv - conv % 100, head=head, most=5))
+
+
 ORACLE_SQL["op11_merkle_manifest"] = twins.MERKLE
+ORACLE_SQL["op13_prefix_trie"] = twins.TRIE
 
 # Base32 from the hexadecimal digest: five digits are twenty bits, that is four letters.
 ORACLE_SQL["op1_warc_round_trip"] = """

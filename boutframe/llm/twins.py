@@ -79,3 +79,40 @@ SELECT t.doc_id, t.leaf, t.subroot, r.digest AS root, sha256(t.path) AS proof_sh
   t.node = r.digest AS verified
 FROM top_7 t, src_8 r
 """
+
+TRIE = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS donor, {crc32('conv_id')} % 6 AS head FROM turns
+), rebuilt AS (
+  SELECT c.conv_id, 0 AS own, t.place, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.donor AND t.place < c.head
+  UNION ALL SELECT t.conv_id, 1, t.place, t.role, t.text FROM turns t JOIN convs c USING (conv_id) WHERE t.place >= c.head
+), paths AS (
+  SELECT c.conv_id, coalesce(list({{'role': r.role, 'text': r.text}} ORDER BY r.own, r.place)
+    FILTER (WHERE r.role IS NOT NULL), []) AS path
+  FROM convs c LEFT JOIN rebuilt r USING (conv_id) GROUP BY c.conv_id
+), members AS (
+  SELECT conv_id, depth, path[1:depth] AS node, len(path) = depth AS ends
+  FROM (SELECT *, unnest(range(len(path) + 1)) AS depth FROM paths)
+), nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), children AS (
+  SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), measured AS (
+  SELECT n.*, coalesce(c.n, 0) AS n_children,
+    CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(n.node[depth].text) END AS saved
+  FROM nodes n LEFT JOIN children c USING (node)
+), sums AS (
+  SELECT node[1:above] AS node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM (SELECT *, unnest(range(depth + 1)) AS above FROM measured) GROUP BY 1
+)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256
+FROM measured m JOIN sums s ON s.node = m.node
+LEFT JOIN nodes p ON m.depth > 0 AND p.node = m.node[1:m.depth - 1]
+"""
