@@ -22,6 +22,8 @@ DEFAULTS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Call-site capture costs more than building the wide plans themselves.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Rows do not bound what a batch of texts holds.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -36,8 +38,12 @@ def build_session(master: str | None = None, **settings: str) -> SparkSession:
 
 
 def tune(spark: SparkSession) -> None:
-    """Set the run-time defaults that results or wide plans depend on."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+    """Set the run-time defaults that results, wide plans or a worker's memory depend on."""
+    for key in (
+        "spark.sql.session.timeZone",
+        "spark.sql.codegen.hugeMethodLimit",
+        "spark.sql.execution.arrow.maxBytesPerBatch",
+    ):
         spark.conf.set(key, DEFAULTS[key])
 
 
