@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -66,20 +67,22 @@ class Codec:
         self.merger = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(vocabulary.pattern).findall
-        self.disputed, self.stand_ins = _disputes()
+        self.beyond, self.disputed, self.stand_ins = _disputes()
         self.known: dict[str, bytes] = {}
 
     def lengths(self, text: str) -> list[int]:
         """Characters of each pre-token of a text."""
-        if self.disputed and self.disputed.search(text):
-            text = text.translate(self.stand_ins)
-        return list(map(len, self.split(text)))
+        return list(map(len, self.split(text.translate(self.stand_ins) if self._in_dispute(text) else text)))
 
     def pieces(self, text: str) -> list[str]:
-        if self.disputed and self.disputed.search(text):
-            ends = list(accumulate(self.lengths(text)))
-            return [text[a:b] for a, b in zip([0, *ends], ends)]
-        return self.split(text)
+        if not self._in_dispute(text):
+            return self.split(text)
+        ends = list(accumulate(self.lengths(text)))
+        return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _in_dispute(self, text: str) -> bool:
+        """Whether a text has a disputed character; most have none as high as the first of them."""
+        return bool(self.beyond and self.beyond.search(text) and self.disputed.search(text))
 
     def ids(self, pieces: list[str]) -> bytes:
         known = self.known
@@ -110,8 +113,13 @@ def _disputes():
         theirs = set(bytes(probe.encode_ordinary(every)).decode())
         wrong |= theirs.symmetric_difference(regex.findall(kind, every))
         seen |= dict.fromkeys(theirs, stand_in)
-    table = {ord(c): seen.get(c, "!") for c in wrong}
-    return (regex.compile("[" + "".join(map(regex.escape, sorted(wrong))) + "]") if wrong else None), table
+    if not wrong:
+        return None, None, {}
+    points = np.array(sorted(map(ord, wrong)))
+    ranges = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1)
+    disputed = "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in ranges)
+    beyond = re.compile(f"[{chr(points[0])}-{chr(0x10FFFF)}]")
+    return beyond, re.compile(f"[{disputed}]"), {ord(c): seen.get(c, "!") for c in wrong}
 
 
 @dataclass(frozen=True)
