@@ -61,7 +61,7 @@ def op2_nearest_neighbours(spark, root):
 @query
 def op3_mix_sources(spark, root):
     """The words that a mix of all sources takes of each document."""
-    return mixture.mix(table(spark, root, "documents"), fill=False).drop("copies")  # the SQL twin's rule
+    return mixture.mix(table(spark, root, "documents")).drop("copies")
 
 
 @query
@@ -237,19 +237,16 @@ WITH RECURSIVE sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
     floor(target)::BIGINT - CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END * source_size AS need
   FROM targets
-), ranked AS (
-  SELECT s.*, n.source_size, n.target, n.whole, n.need,
-    sum(size) OVER (PARTITION BY s.source ORDER BY rank) AS upto
-  FROM sized s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source
-), round0 AS (
-  SELECT *, upto <= need AS taken FROM ranked
-), {", ".join(f'''open{n} AS (
-  SELECT *, need - coalesce(sum(size) FILTER (WHERE taken) OVER (PARTITION BY source), 0) AS open FROM round{n}
-), best{n} AS (
-  SELECT *, max(CASE WHEN NOT taken AND size > 0 AND size <= open THEN {{'s': size, 'r': rank}} END)
-    OVER (PARTITION BY source) AS best FROM open{n}
-), round{n + 1} AS (
-  SELECT * EXCLUDE (taken, open, best), taken OR coalesce(best.r = rank, false) AS taken FROM best{n}
-)''' for n in range(mixture.CORRECTIONS))}
-SELECT doc_id, size, source_size, target, ((whole + taken::INT) * size)::BIGINT AS taken FROM round{mixture.CORRECTIONS}
+), units AS (  -- rows that share an id come together
+  SELECT s.source, s.rank, sum(s.size)::BIGINT AS unit, row_number() OVER (PARTITION BY s.source ORDER BY s.rank) AS nth
+  FROM sized s GROUP BY s.source, s.rank
+), walk AS (  -- in the seeded order, whatever still fits is taken
+  SELECT source, 0::BIGINT AS nth, need AS open, '' AS rank, false AS taken FROM needs
+  UNION ALL
+  SELECT u.source, u.nth, CASE WHEN u.unit <= w.open THEN w.open - u.unit ELSE w.open END, u.rank, u.unit <= w.open
+  FROM walk w JOIN units u ON u.source IS NOT DISTINCT FROM w.source AND u.nth = w.nth + 1
+)
+SELECT s.doc_id, s.size, n.source_size, n.target, ((n.whole + w.taken::INT) * s.size)::BIGINT AS taken
+FROM sized s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source
+JOIN walk w ON w.source IS NOT DISTINCT FROM s.source AND w.rank = s.rank
 """
