@@ -72,9 +72,13 @@ def centred_power(x: Column, lam: Column, side: Column, centre: Column) -> Colum
     with its mean ``log1p(|x|)`` as ``centre``, and 0, with a centre of 0, for any other feature.
     A value of the other sign gets the same factor and shift.
     """
+    return centred_size(F.signum(x), F.log1p(F.abs(x)), lam, side, centre)
+
+
+def centred_size(sign: Column, log_size: Column, lam: Column, side: Column, centre: Column) -> Column:
+    """:func:`centred_power` from the sign and ``log1p(|x|)``, for callers that try many lambdas."""
     own = F.when(side < 0, F.lit(2.0) - lam).otherwise(lam)
     flat = F.abs(own) < NEAR_ZERO
-    sign, log_size = F.signum(x), F.log1p(F.abs(x))
 
     def grown(length: Column) -> Column:
         return F.when(flat, length).otherwise(F.expm1(own * length) / own)
@@ -82,14 +86,3 @@ def centred_power(x: Column, lam: Column, side: Column, centre: Column) -> Colum
     plain = signed_power(sign, log_size, lam)
     other = (plain - side * grown(centre)) * F.exp(-own * centre)
     return F.when(side == 0, plain).when(sign * side < 0, other).otherwise(side * grown(log_size - centre))
-
-
-def power_likelihood(n: Column, variance: Column, log_sum: Column, lam: Column, side: Column) -> Column:
-    """Log-likelihood of ``lam`` up to a constant of the feature; null where it cannot be told.
-
-    ``variance`` is that of :func:`centred_power`, whose factor has taken up the Jacobian of
-    features of one sign.
-    """
-    jacobian = F.when(side == 0, (lam - 1) * log_sum).otherwise(0.0)
-    fit = n * -0.5 * F.log(variance) + jacobian
-    return F.when((variance > 0) & (variance < float("inf")) & ~F.isnan(variance), fit)

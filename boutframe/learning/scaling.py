@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutframe.functions import distributions as dist
+from boutframe.learning import power
 from boutframe.operators.lookups import small_enough
 
 NORMAL_ABOVE = 0.05
-GRID_POINTS = 21
-START, FIRST_STEP = 1.0, 0.5
-#: Each finer grid has a step so many times smaller, down to this one or below.
-REFINED, LAST_STEP = 10.0, 1e-3
 
 
 def numeric_features(df: DataFrame, exclude: list[str]) -> list[str]:
@@ -31,102 +28,34 @@ def unpivoted(df: DataFrame, features: list[str]) -> DataFrame:
     return values.unpivot([], features, "feature", "x")
 
 
-def normality(df: DataFrame, features: list[str]) -> DataFrame:
-    """Moments, omnibus statistic and verdict per feature; any gap means not normal."""
-    moments = unpivoted(df, features).groupBy("feature").agg(
+def moments(df: DataFrame, features: list[str]) -> DataFrame:
+    """Counts, extremes and moments per feature, in one pass."""
+    return unpivoted(df, features).groupBy("feature").agg(
         F.count("*").alias("rows_seen"),
         F.count("x").alias("n"),
+        F.min("x").alias("low"),
+        F.max("x").alias("high"),
         F.avg("x").alias("mean"),
         F.stddev_pop("x").alias("sigma"),
         F.skewness("x").alias("skew"),
         F.kurtosis("x").alias("excess"),
     )
+
+
+def normality(df: DataFrame, features: list[str]) -> DataFrame:
+    """Moments, omnibus statistic and verdict per feature; any gap means not normal."""
     k2 = dist.normality_k2(F.col("n"), F.col("skew"), F.col("excess"))
-    tested = moments.withColumn("k2", k2).withColumn("p_value", dist.normality_p(F.col("k2")))
+    tested = moments(df, features).withColumn("k2", k2).withColumn("p_value", dist.normality_p(F.col("k2")))
     normal = (F.col("n") == F.col("rows_seen")) & (F.col("p_value") > NORMAL_ABOVE)
     return tested.withColumn("is_normal", F.coalesce(normal, F.lit(False)))
 
 
-def power_shapes(df: DataFrame, features: list[str]) -> DataFrame:
-    """Per feature: values, extremes, the side of zero they lie on, their mean log size, a first grid."""
-    size = F.log1p(F.abs("x"))
-    found = unpivoted(df, features).groupBy("feature").agg(
-        F.count("x").cast("double").alias("n"),
-        F.min("x").alias("low"),
-        F.max("x").alias("high"),
-        F.avg(size).alias("mean_size"),
-        F.stddev_pop(size).alias("spread"),
-        F.skewness(size).alias("skew"),
-        F.sum(F.signum("x") * size).alias("log_sum"),
-    )
-    side = F.when(F.col("low") >= 0, 1).when(F.col("high") <= 0, -1).otherwise(0)
-    # To first order, this power takes the skewness out of values of one sign.
-    power = F.col("skew") / F.col("spread") / -3
-    told = (side != 0) & (F.abs(power) < float("inf"))
-    start = F.when(told & (side > 0), power).when(told, F.lit(2.0) - power).otherwise(START)
-    step = F.when(told, F.greatest(F.lit(FIRST_STEP) / 5, F.lit(0.2) / F.col("spread"))).otherwise(FIRST_STEP)
-    return found.select(
-        "feature", "n", "low", "high", "log_sum",
-        start.alias("start"),
-        step.alias("step"),
-        side.alias("side"),
-        F.when(side == 0, 0.0).otherwise(F.col("mean_size")).alias("centre"),
-    )
-
-
 def yeo_johnson_lambdas(df: DataFrame, features: list[str]) -> DataFrame:
-    """Maximum-likelihood lambda per feature, with its side and centre.
+    """Maximum-likelihood lambda per feature, with its side and centre (:mod:`learning.power`).
 
-    Each round tries ``GRID_POINTS`` lambdas of every feature in one pass over ``df``. While the
-    best is at an edge the grid moves there and doubles its step; else the next one is finer
-    around it, until a parabola through the best three settles the rest. No lambda is out of
-    reach. A feature without two different values keeps lambda 1.
+    No lambda is out of reach. A feature without two different values keeps lambda 1.
     """
-    spark = df.sparkSession
-    kept = ["n", "log_sum", "side", "centre"]
-    schema = "feature string, i int, n double, log_sum double, side int, centre double"
-    shapes = {r["feature"]: r for r in power_shapes(df, features).collect()}  # one row per feature
-    done = {f: START for f, r in shapes.items() if r["low"] is None or r["low"] == r["high"]}
-    open_ = {f: (r["start"], r["step"]) for f, r in shapes.items() if f not in done}
-    half = GRID_POINTS // 2
-    values = unpivoted(df, features)
-    while open_:
-        rows = [
-            (f, i, *(shapes[f][c] for c in kept), lam + step * (i - half))
-            for f, (lam, step) in open_.items()
-            for i in range(GRID_POINTS)
-        ]
-        # A row per value and grid point: one small expression compiles better than many.
-        grid = spark.createDataFrame(rows, f"{schema}, lam double")
-        tried = values.join(small_enough(grid, rows=len(rows), columns=7), "feature")
-        moved = dist.centred_power(F.col("x"), F.col("lam"), F.col("side"), F.col("centre"))
-        spreads = tried.groupBy("feature", "i", "n", "log_sum", "lam", "side").agg(F.var_pop(moved).alias("variance"))
-        fit = dist.power_likelihood(F.col("n"), F.col("variance"), F.col("log_sum"), F.col("lam"), F.col("side"))
-        found: dict[str, dict[int, float]] = {f: {} for f in open_}
-        for r in spreads.select("feature", "i", fit.alias("fit")).collect():
-            if r["fit"] is not None:
-                found[r["feature"]][r["i"]] = r["fit"]
-        following = {}
-        for feature, seen in found.items():
-            lam, step = open_[feature]
-            best = max(seen, key=seen.get, default=half)
-            at = lam + step * (best - half)
-            if best in (0, GRID_POINTS - 1):
-                following[feature] = (at, step * 2)
-            elif step > LAST_STEP and seen:
-                following[feature] = (at, step / REFINED)
-            else:
-                done[feature] = at + step * _peak(*(seen.get(best + k) for k in (-1, 0, 1)))
-        open_ = following
-    out = [(f, lam, shapes[f]["side"], shapes[f]["centre"]) for f, lam in done.items()]
-    return spark.createDataFrame(out, "feature string, lam double, side int, centre double")
-
-
-def _peak(left: float | None, middle: float | None, right: float | None) -> float:
-    """Where a parabola through values at -1, 0 and 1 is highest, within half a step."""
-    if left is None or middle is None or right is None or left + right - 2 * middle >= 0:
-        return 0.0
-    return max(-0.5, min(0.5, 0.5 * (left - right) / (left + right - 2 * middle)))
+    return power.fitted_lambdas(unpivoted(df, features), features)
 
 
 def fit_scaling(df: DataFrame, features: list[str]) -> DataFrame:
@@ -137,12 +66,11 @@ def fit_scaling(df: DataFrame, features: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     schema = "feature string, kind string, lam double, side int, centre double, mean double, sigma double"
-    verdicts = {r["feature"]: r for r in normality(df, features).select("feature", "is_normal", "mean", "sigma").collect()}
-    shapes = {r["feature"]: r for r in power_shapes(df, features).collect()}
-    constant = {f for f, r in shapes.items() if r["low"] == r["high"]}
+    verdicts = {r["feature"]: r for r in normality(df, features).collect()}
+    constant = {f for f, r in verdicts.items() if r["low"] == r["high"]}
     plain = {f for f, r in verdicts.items() if r["is_normal"]} - constant
     skewed = [f for f in features if f not in constant | plain]
-    rows = [(f, "constant", None, None, None, shapes[f]["low"], 1.0) for f in constant]
+    rows = [(f, "constant", None, None, None, verdicts[f]["low"], 1.0) for f in constant]
     rows += [(f, "normal", None, None, None, verdicts[f]["mean"], verdicts[f]["sigma"]) for f in plain]
     fitted = spark.createDataFrame(rows, schema)
     if not skewed:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boutframe.functions import distributions as dist
-from boutframe.learning import model, sampling, scaling
+from boutframe.learning import model, power, sampling, scaling
 
 
 def columns(spark, **named):
@@ -123,6 +123,40 @@ def test_lambdas_have_no_bound_and_the_highest_likelihood(spark):
         assert r[f] == pytest.approx(0.0, abs=1e-8) and r[f"s_{f}"] == pytest.approx(1.0, abs=1e-8)
 
 
+def test_powers_take_two_passes(spark, monkeypatch):
+    """The summary alone is right to a hundredth of a feature's scale; one exact pass does the rest."""
+    rng = random.Random(12)
+    df = columns(
+        spark,
+        wide=[math.exp(rng.gauss(0, 3)) for _ in range(5000)],
+        both=[rng.gauss(1, 2) ** 3 for _ in range(5000)],
+        far=[1500 + 40 * rng.expovariate(1) for _ in range(5000)],
+        tiny=[rng.expovariate(1) * 1e-9 for _ in range(5000)],
+        gaps=[None if i % 3 else rng.expovariate(1) for i in range(5000)],
+    )
+    passes, exact = [], power._tried
+
+    def counted(values, guesses, at):
+        passes.append({f: lam for f, (lam, _) in at.items()} | {f"{f}_unit": g["unit"] for f, g in guesses.items()})
+        return exact(values, guesses, at)
+
+    monkeypatch.setattr(power, "_tried", counted)
+    found = {r["feature"]: r["lam"] for r in scaling.yeo_johnson_lambdas(df, df.columns).collect()}
+    assert len(passes) == 1
+    for f, lam in found.items():
+        assert abs(lam - passes[0][f]) < 1e-2 * passes[0][f"{f}_unit"]
+
+
+def test_summaries_of_parts_and_of_the_whole_agree(spark):
+    rng = random.Random(2)
+    df = columns(spark, x=[rng.gauss(0, 5) for _ in range(3000)] + [0.0] * 50)
+    keys = ["feature", "sign", "cell"]
+    one = power.summarised(scaling.unpivoted(df.coalesce(1), ["x"])).orderBy(*keys).collect()
+    many = power.summarised(scaling.unpivoted(df.repartition(16), ["x"])).orderBy(*keys).collect()
+    assert sum(r["n"] for r in one) == 3050 and [r[:4] for r in one] == [r[:4] for r in many]
+    assert [r["m2"] for r in one] == pytest.approx([r["m2"] for r in many], rel=1e-6, abs=1e-15)
+
+
 def test_constants_are_zero(spark):
     df = columns(spark, c=[1523.7] * 3000, n=[-0.1] * 3000, gap=[None] * 3000)
     params = scaling.fit_scaling(df, ["c", "n", "gap"])
