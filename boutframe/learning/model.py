@@ -1,24 +1,22 @@
-"""Score models: random search over boosted trees, holdout errors, predictions."""
+"""Score models: training on completed contests, holdout errors, predictions."""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Model
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutframe import fixed_values as fv
-from boutframe.learning import sampling, scaling
+from boutframe.learning import kept, sampling, scaling
+from boutframe.learning.search import FOLDS, WHOLE, search
 from boutframe.session import written
 
 TARGETS = ("away_score", "home_score")
-FOLDS = 5
 DRAWS = 100
 
 
@@ -49,51 +47,12 @@ def split_features(contests: DataFrame) -> list[str]:
     return scaling.numeric_features(contests, [*fv.FIRST_COLUMNS, *fv.RESULT_COLUMNS])
 
 
-def whole_targets(contests: DataFrame) -> DataFrame:
-    return contests.withColumns({t: F.col(t).cast("int") for t in TARGETS})
-
-
 def contest_key() -> Column:
     """A number from the contest's keys that any engine with MD5 can repeat."""
     named = F.concat_ws("|", "season", "week", "away_abbr", "home_abbr")
     return F.conv(F.substring(F.md5(named.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def with_feature_vector(df: DataFrame, params: DataFrame, features: list[str]) -> DataFrame:
-    """Add the scaled feature vector; a missing value sits at its feature's centre."""
-    scaled = {
-        f"__{name}": F.coalesce(value, F.lit(0.0))
-        for name, value in scaling.scaled_columns(params, features).items()
-    }
-    assembler = VectorAssembler(inputCols=list(scaled), outputCol="features")
-    return assembler.transform(df.withColumns(scaled)).drop(*scaled)
-
-
-def search(
-    train: DataFrame,
-    target: str,
-    settings: list[dict],
-    folds: int = FOLDS,
-    seed: int = sampling.SEED,
-    parallelism: int = 2,
-) -> Model:
-    """Cross-validated choice among ``settings`` by squared error, refitted on all rows."""
-    learner = GBTRegressor(featuresCol="features", labelCol=target, lossType="squared", seed=seed)
-    maps = [{learner.getParam(k): v for k, v in setting.items()} for setting in settings]
-    judge = RegressionEvaluator(labelCol=target, metricName="mse")
-    folded = sampling.stratified_folds(train, target, "contest_key", folds, seed=seed)
-    validator = CrossValidator(
-        estimator=learner,
-        estimatorParamMaps=maps,
-        evaluator=judge,
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-    )
-    slim = written(folded.select("features", F.col(target).cast("double"), "fold"), f"fold-{target}")
-    return validator.fit(slim).bestModel
-
-
 def error_summary(predicted: DataFrame, target: str, prediction: str) -> DataFrame:
     """Mean absolute error, its root, and root mean squared error."""
     miss = F.col(target) - F.col(prediction)
@@ -111,36 +70,49 @@ def rounded_prediction(prediction: Column) -> Column:
     return F.bround(prediction, 1)
 
 
-def train_and_score(
+@dataclass(frozen=True)
+class Trained:
+    """A pipeline to keep, and its errors on the holdout: a row per target."""
+
+    model: PipelineModel
+    errors: DataFrame
+
+
+def train(
     completed: DataFrame,
-    upcoming: DataFrame,
     features: list[str] | None = None,
     space: Mapping[str, Sequence] = SEARCH_SPACE,
     draws: int = DRAWS,
     folds: int = FOLDS,
     seed: int = sampling.SEED,
     scale_on_all: bool = False,
-) -> tuple[DataFrame, DataFrame]:
-    """Predicted scores of ``upcoming`` and the holdout errors of both models.
-
-    Scaling is fitted on the training rows; ``scale_on_all`` fits it on all completed
-    contests instead. Both targets share the same split.
+    targets: Sequence[str] = TARGETS,
+    key: Column | None = None,
+    **options,
+) -> Trained:
+    """Score models of the completed contests, one per target, with their holdout errors.
+
+    Scaling is fitted on the training rows; ``scale_on_all`` fits it on all completed contests
+    instead. All targets share the same split, by ``key`` or else by the contest's. ``options`` are
+    those of the search: ``ledger``, ``rungs``, ``parallelism``.
     """
     features = features or split_features(completed)
-    keyed = whole_targets(completed).withColumn("contest_key", contest_key())
-    table = written(keyed, "completed")
+    keyed = completed.withColumns({t: F.col(t).cast("int") for t in targets})
+    table = written(keyed.withColumn("contest_key", contest_key() if key is None else key), "completed")
     held = sampling.in_holdout(F.col("contest_key"), seed=seed)
-    params = scaling.fit_scaling(table if scale_on_all else table.where(~held), features)
-
-    train = with_feature_vector(table.where(~held), params, features)
-    train = written(train.select("contest_key", "features", *TARGETS), "train")
-    test = with_feature_vector(table.where(held), params, features)
-    scored, errors = with_feature_vector(upcoming, params, features), []
+    scaler = kept.FeatureScaler(inputCols=features).fit(table if scale_on_all else table.where(~held))
+    rows = written(scaler.transform(table.where(~held)).select("contest_key", "features", *targets), "train")
     settings = draw_settings(space, draws, seed)
-    for target in TARGETS:
-        model = search(train, target, settings, folds, seed)
-        errors.append(error_summary(model.transform(test), target, "prediction"))
-        predicted = rounded_prediction(F.col("prediction"))
-        scored = model.transform(scored).withColumn(f"predicted_{target}", predicted)
-        scored = scored.drop("prediction")
-    return scored.drop("features"), errors[0].unionByName(errors[1])
+    models = {target: search(rows, target, settings, folds, seed, **options) for target in targets}
+    model = kept.kept_pipeline(scaler, models)
+    test = written(model.transform(table.where(held)).select(*targets, *map(kept.raw_prediction, targets)), "holdout")
+    errors = [error_summary(test, t, kept.raw_prediction(t)) for t in targets]
+    for more in errors[1:]:
+        errors[0] = errors[0].unionByName(more)
+    return Trained(model, errors[0])
+
+
+def train_and_score(completed: DataFrame, upcoming: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Predicted scores of ``upcoming`` and the holdout errors of both models; options of :func:`train`."""
+    trained = train(completed, **options)
+    return kept.scored(trained.model, upcoming), trained.errors

@@ -6,7 +6,8 @@ partial aggregation serves every feature and only a row per feature is shuffled.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,10 +92,10 @@ def standardised(value: Column, mean: float | None, sigma: float | None) -> Colu
     return (value - F.lit(mean)) / F.lit(sigma or 1.0)
 
 
-def scaled_columns(params: DataFrame, features: list[str]) -> dict[str, Column]:
+def scaled_columns(params: DataFrame | list[Row], features: list[str]) -> dict[str, Column]:
     """Scaling expression per feature; the parameters hold one row per feature."""
     out = {}
-    for row in params.collect():
+    for row in params if isinstance(params, list) else params.collect():
         x = F.col(row["feature"]).cast("double")
         if row["kind"] == "power" and row["lam"] is not None:
             x = dist.centred_power(x, F.lit(row["lam"]), F.lit(row["side"]), F.lit(row["centre"]))
@@ -102,6 +103,15 @@ def scaled_columns(params: DataFrame, features: list[str]) -> dict[str, Column]:
     return {f: out[f] for f in features}
 
 
+def with_feature_vector(
+    df: DataFrame, params: DataFrame | list[Row], features: list[str], name: str = "features"
+) -> DataFrame:
+    """Add the scaled feature vector; a missing value sits at its feature's centre."""
+    scaled = {f"__{f}": F.coalesce(value, F.lit(0.0)) for f, value in scaled_columns(params, features).items()}
+    assembler = VectorAssembler(inputCols=list(scaled), outputCol=name)
+    return assembler.transform(df.withColumns(scaled)).drop(*scaled)
+
+
 def apply_scaling(df: DataFrame, params: DataFrame, features: list[str]) -> DataFrame:
     """Scale ``features`` in place by fitted parameters, in one projection."""
     return df.withColumns(scaled_columns(params, features))

@@ -805,10 +805,19 @@ BODY["score_predictions"] = """
 SELECT season, week, away_abbr, home_abbr, true AS away_in_range, true AS away_rounded, true AS home_in_range,
   true AS home_rounded
 FROM combined WHERE season = 2001 AND week = 11 AND result IS NULL"""
-BODY["train_and_score"] = f"""
-SELECT target, n, true AS sane, true AS ordered
-FROM (SELECT count(*) AS n FROM combined WHERE result IS NOT NULL AND {bucket(mixed(KEY), 1000)} < 300),
-  (VALUES ('away_score'), ('home_score')) t(target)"""
+HELD = f"result IS NOT NULL AND {bucket(mixed(KEY), 1000)} < 300"
+BODY["train_and_score"] = " UNION ALL ".join(
+    f"""
+SELECT '{t}' AS target, count({t}) AS n, {r6(f'stddev_pop(CAST({t} AS INTEGER))', 'deviation')}, true AS sane, true AS ordered
+FROM combined WHERE {HELD}"""
+    for t in ("away_score", "home_score")
+)
+BODY["kept_model"] = f"""
+SELECT count(*) AS orders, count(*) FILTER (held) AS held_out,
+  {r6('stddev_pop(thousands) FILTER (held)', 'deviation')}, true AS learned, 0::BIGINT AS changed_by_reload,
+  true AS trials_recorded
+FROM (SELECT sum(CAST(round(l_extendedprice * 100) AS BIGINT)) // 100000 AS thousands, {bucket(mixed('l_orderkey'), 1000)} < 300 AS held
+  FROM lineitem GROUP BY l_orderkey)"""
 BODY["stored_version"] = "SELECT * REPLACE (value * 2 AS value) FROM events"
 BODY["stored_partitions"] = """
 SELECT season, week, pass, count(*) AS orders FROM (

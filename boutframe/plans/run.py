@@ -1,7 +1,11 @@
-"""The two jobs a user runs: build the contest tables, then train and predict.
+"""The jobs a user runs: build the contest tables, train models, score upcoming contests.
 
     spark-submit -m boutframe.plans.run build   <input folder> <output folder> <as-of date> <first season>
+    spark-submit -m boutframe.plans.run train   <output folder>
+    spark-submit -m boutframe.plans.run score   <output folder> <as-of date>
     spark-submit -m boutframe.plans.run predict <output folder> <as-of date>
+
+``score`` applies the model kept last; ``predict`` trains a new one and then scores.
 """
 
 from __future__ import annotations
@@ -9,6 +13,7 @@ from __future__ import annotations
 import sys
 from datetime import date
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +21,8 @@ from pyspark.sql import types as T
 from boutframe import schemas
 from boutframe.functions import calendar as cal
 from boutframe.functions.calendar import SeasonSpan
-from boutframe.learning.model import train_and_score
+from boutframe.learning import kept
+from boutframe.learning import model as ml
 from boutframe.operators import combine
 from boutframe.operators.lookups import league_divisions
 from boutframe.plans.jobs import Build, Inputs
@@ -73,28 +79,46 @@ def build(
     )
     job = Build(inputs, span, season, week, f"{out}/team_games", rebuild_facts)
     table = store.materialize(spark, f"{out}/all_data", lambda: job.all_data, True, keep_versions)
-    outputs = {"completed_games": combine.completed(table), upcoming_name(week): combine.to_predict(table, as_of)}
+    outputs = {"completed_games": combine.completed(table), upcoming_name(season, week): combine.to_predict(table, as_of)}
     for name, rows in outputs.items():
         store.materialize(spark, f"{out}/{name}", lambda rows=rows: rows, True, keep_versions)
     discard_written(spark, mark)
     return table
 
 
-def upcoming_name(week: int) -> str:
-    return f"predict/week_{week:02}_games_to_predict"
+def upcoming_name(season: int, week: int) -> str:
+    return f"predict/season_{season}_week_{week:02}_games_to_predict"
+
 
+def train(spark: SparkSession, out: str, **options) -> DataFrame:
+    """Train on the completed contests; keep the model and its holdout errors, which are returned.
 
-def predict(spark: SparkSession, out: str, as_of: date, **search) -> DataFrame:
-    """Train on the completed contests, score the upcoming ones, store both results."""
+    The trials of the search go to a ledger, so that a job which was lost goes on where it was.
+    """
     mark = written_so_far()
-    _, week = current_step(spark, as_of)
     done = store.materialize(spark, f"{out}/completed_games", _missing)
-    coming = store.materialize(spark, f"{out}/{upcoming_name(week)}", _missing)
-    scored, errors = train_and_score(done, coming, **search)
-    store.materialize(spark, f"{out}/holdout_errors", lambda: errors, force=True)
-    predictions = store.materialize(spark, f"{out}/predictions", lambda: scored, force=True)
+    trained = ml.train(done, **{"ledger": f"{out}/search_ledger", **options})
+    store.add_version(spark, f"{out}/model", trained.model.save)
+    errors = store.materialize(spark, f"{out}/holdout_errors", lambda: trained.errors, force=True)
     discard_written(spark, mark)
-    return predictions
+    return errors
+
+
+def score(spark: SparkSession, out: str, as_of: date) -> DataFrame:
+    """Score the upcoming contests with the model kept last; nothing is fitted."""
+    season, week = current_step(spark, as_of)
+    coming = store.materialize(spark, f"{out}/{upcoming_name(season, week)}", _missing)
+    folder = store.newest_version(spark, f"{out}/model")
+    if folder is None:
+        raise FileNotFoundError("no model kept; run the train job first")
+    model = PipelineModel.load(folder)
+    return store.materialize(spark, f"{out}/predictions", lambda: kept.scored(model, coming), force=True)
+
+
+def predict(spark: SparkSession, out: str, as_of: date, **options) -> DataFrame:
+    """Train on the completed contests, then score the upcoming ones."""
+    train(spark, out, **options)
+    return score(spark, out, as_of)
 
 
 def _missing() -> DataFrame:
@@ -107,8 +131,10 @@ def main(args: list[str]) -> None:
         as_of = date.fromisoformat(args[3])
         last, _ = current_step(spark, as_of)
         build(spark, args[1], args[2], SeasonSpan(int(args[4]), last, as_of))
-    elif args[0] == "predict":
-        predict(spark, args[1], date.fromisoformat(args[2]))
+    elif args[0] == "train":
+        train(spark, args[1])
+    elif args[0] in ("score", "predict"):
+        {"score": score, "predict": predict}[args[0]](spark, args[1], date.fromisoformat(args[2]))
     else:
         raise SystemExit(__doc__)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import date
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,10 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+class VersionTaken(RuntimeError):
+    """Another build stored the version that this one would have become."""
+
+
 def materialize(
     spark: SparkSession,
     path: str,
@@ -33,8 +40,7 @@ def materialize(
 ) -> DataFrame:
     """The stored table, built first when absent, empty or ``force``.
 
-    The new version is written to its own folder and then recorded, so a build may
-    read the version it replaces and a lost job leaves the old one in place. The
+    A build may read the version it replaces, and a lost job leaves the old one in place. The
     result is always read back, so fresh and stored tables have the same types. After a build,
     all but the newest ``keep_versions`` are removed, or none where it is not given.
     """
@@ -43,15 +49,68 @@ def materialize(
         stored = read_if_present(spark, f"{path}/{current}")
         if stored is not None and not stored.isEmpty():
             return stored
-    version = f"v{int(current[1:]) + 1 if current else 1:06d}"
-    # Overwriting clears what a failed attempt at the same version left behind.
-    build().write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-        f"{path}/{version}"
-    )
+    version = add_version(spark, path, lambda folder: build().write.parquet(folder), keep_versions)
+    return spark.read.parquet(version)
+
+
+def add_version(
+    spark: SparkSession, path: str, write: Callable[[str], object], keep_versions: int | None = None
+) -> str:
+    """Have ``write`` fill a folder and make it the next version of ``path``; returns its path.
+
+    The folder becomes the version that follows the one current when the build began, in one step
+    that fails if that version has come to exist meanwhile. Of two builds at once, one is stored
+    whole; the other raises :class:`VersionTaken` and leaves nothing.
+    """
+    current = _current_version(spark, path)
+    version = f"{path}/v{int(current[1:]) + 1 if current else 1:06d}"
+    staged = f"{path}/_building-{uuid.uuid4().hex}"
+    try:
+        write(staged)
+        _mark(spark, staged)
+        _rename_to_new(spark, staged, version)
+    except BaseException:
+        remove_folder(spark, staged)
+        raise
     if keep_versions is not None:
         for old in _versions(spark, path)[: -max(1, keep_versions)]:
             remove_folder(spark, f"{path}/{old}")
-    return spark.read.parquet(f"{path}/{version}")
+    return version
+
+
+def _mark(spark: SparkSession, folder: str) -> None:
+    """The marker of a finished folder, which Spark leaves in tables but not in models."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    marker.getFileSystem(spark._jsc.hadoopConfiguration()).create(marker, True).close()
+
+
+def newest_version(spark: SparkSession, path: str) -> str | None:
+    """The path of the newest version, or None without any."""
+    current = _current_version(spark, path)
+    return f"{path}/{current}" if current else None
+
+
+def _rename_to_new(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to a name that must not exist, in one step of the file system.
+
+    HDFS and local disks rename in one step; an object store without that must be given a
+    committer or file system that has it.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    start, end = hadoop.Path(source), hadoop.Path(target)
+    if start.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+        try:
+            os.rename(start.toUri().getPath(), end.toUri().getPath())
+        except OSError as taken:
+            raise VersionTaken(f"{target} has been stored by another build") from taken
+        return
+    files = hadoop.FileContext.getFileContext(start.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        files.rename(start, end, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+    except Py4JJavaError as problem:
+        if "FileAlreadyExistsException" not in str(problem.java_exception):
+            raise
+        raise VersionTaken(f"{target} has been stored by another build") from problem
 
 
 def _current_version(spark: SparkSession, path: str) -> str | None:

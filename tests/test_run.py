@@ -24,7 +24,7 @@ def test_build_and_predict(spark, tmp_path):
     table = run.build(spark, source, out, SPAN)
     assert written_so_far() == mark
     done = store.read_if_present(spark, f"{out}/completed_games/v000001")
-    coming = store.read_if_present(spark, f"{out}/predict/week_11_games_to_predict/v000001")
+    coming = store.read_if_present(spark, f"{out}/predict/season_2001_week_11_games_to_predict/v000001")
     assert done.count() == table.where("result IS NOT NULL").count() > 0
     assert coming.count() == table.where("season = 2001 AND week = 11").count() > 0
     assert "surface_factor" not in table.columns
@@ -39,8 +39,21 @@ def test_build_and_predict(spark, tmp_path):
     assert {f.split("week=")[1].split("/")[0] for f in changed} == {"10", "11", "12"}
 
     features = [f"{s}_diff" for s in COMPARED[:4]]
-    coming = store.read_if_present(spark, f"{out}/predict/week_11_games_to_predict/v000002")
+    coming = store.read_if_present(spark, f"{out}/predict/season_2001_week_11_games_to_predict/v000002")
     scored = run.predict(spark, out, AS_OF, features=features, space=SMALL_SPACE, draws=1, folds=2)
     assert scored.count() == coming.count()
     assert scored.where(F.col("predicted_home_score").isNull()).count() == 0
     assert spark.read.parquet(f"{out}/holdout_errors/v000001").count() == 2
+
+    # A second job scores with the model kept, and fits nothing.
+    ledger = spark.read.parquet(f"{out}/search_ledger")
+    trials = ledger.count()
+    assert trials == 2 * 2
+    again = run.score(spark, out, AS_OF)
+    assert store.newest_version(spark, f"{out}/model").endswith("v000001")
+    assert again.exceptAll(scored).count() == 0 == scored.exceptAll(again).count()
+    assert spark.read.parquet(f"{out}/search_ledger").count() == trials
+    # Training again finds all trials in the ledger and keeps a second model.
+    run.train(spark, out, features=features, space=SMALL_SPACE, draws=1, folds=2)
+    assert spark.read.parquet(f"{out}/search_ledger").count() == trials
+    assert store.newest_version(spark, f"{out}/model").endswith("v000002")

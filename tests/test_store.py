@@ -1,3 +1,5 @@
+import threading
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 
 import pytest
@@ -125,3 +127,35 @@ def test_written_tables_live_in_the_named_folder(spark):
     out = written(spark.range(5), "five")
     assert out.count() == 5
     assert shared_folder(spark) in out.inputFiles()[0]
+
+
+def test_of_two_builds_at_once_one_is_stored_and_one_fails(spark, tmp_path):
+    path, meet = f"file://{tmp_path}/stage", threading.Barrier(2)
+    store.materialize(spark, path, lambda: spark.range(1).withColumn("who", F.lit("first")))
+
+    def build(who):
+        def rows():
+            meet.wait(60)  # both have seen the same current version
+            return spark.range(500).withColumn("who", F.lit(who))
+
+        try:
+            return store.materialize(spark, path, rows, force=True).select("who").distinct().collect()[0][0]
+        except store.VersionTaken as taken:
+            return taken
+
+    with ThreadPoolExecutor(2) as pool:
+        results = list(pool.map(build, ("a", "b")))
+    won = [r for r in results if isinstance(r, str)]
+    assert len(won) == 1 and sum(isinstance(r, store.VersionTaken) for r in results) == 1
+    stored = spark.read.parquet(store.newest_version(spark, path))
+    assert stored.groupBy("who").count().collect() == [(won[0], 500)]
+    assert sorted(p.name for p in (tmp_path / "stage").iterdir()) == ["v000001", "v000002"]
+
+
+def test_a_failed_build_leaves_the_old_version_and_no_folder(spark, tmp_path):
+    path = f"file://{tmp_path}/stage"
+    store.materialize(spark, path, lambda: spark.range(3))
+    with pytest.raises(Exception):
+        store.materialize(spark, path, lambda: spark.range(9).select(F.raise_error(F.lit("lost"))), force=True)
+    assert spark.read.parquet(store.newest_version(spark, path)).count() == 3
+    assert [p.name for p in (tmp_path / "stage").iterdir()] == ["v000001"]
