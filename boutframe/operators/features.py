@@ -56,7 +56,11 @@ def contest_features(schedule: DataFrame, facts: DataFrame, span: SeasonSpan) ->
     """
     schedule = standardise_sides(schedule)
     facts = facts.withColumn("team_abbr", standard_code(F.col("team_abbr")))
-    form = entity_form(facts, schedule, span)
+    return features_of(schedule, facts, entity_form(facts, schedule, span), span)
+
+
+def features_of(schedule: DataFrame, facts: DataFrame, form: DataFrame, span: SeasonSpan) -> DataFrame:
+    """:func:`contest_features` from a form at hand; all three tables have standard codes."""
     first_step = (F.col("season") == span.first) & (F.col("week") == 1)
     wanted = schedule.where(span.covers(F.col("season"), F.col("week")) & ~first_step)
     # Results first, while rows are narrow; differences last, so no exchange carries them.

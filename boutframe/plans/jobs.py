@@ -15,6 +15,7 @@ from boutframe.operators import combine as cb
 from boutframe.operators import contests as ct
 from boutframe.operators import features as ft
 from boutframe.operators import form as fm
+from boutframe.operators.kept_form import KeptForm, steps_of
 from boutframe.operators.lines import season_lines
 from boutframe.operators.rankings import season_rankings
 from boutframe.operators.ratings import season_ratings
@@ -49,6 +50,11 @@ class Build:
     current_week: int
     facts_path: str | None = None
     rebuild_facts: bool = False
+    form_path: str | None = None
+
+    def __post_init__(self):
+        #: Steps whose kept facts were replaced; None if all were computed.
+        self.changed_steps: set[tuple[int, int]] | None = None
 
     @property
     def as_of(self) -> date:
@@ -81,7 +87,11 @@ class Build:
         if kept is not None:
             due = store.due_for_refresh(self.as_of)
             facts = store.rows_to_refresh(facts, kept, due)
-        store.refresh_partitions(facts, self.facts_path, F.lit(True), due)
+            # Steps that had rows count too: a step that is emptied has changed.
+            self.changed_steps = steps_of(kept.where(due))
+        replaced = store.refresh_partitions(facts, self.facts_path, F.lit(True), due)
+        if kept is not None:
+            self.changed_steps |= replaced
         return spark.read.parquet(self.facts_path)
 
     @cached_property
@@ -102,7 +112,20 @@ class Build:
 
     @cached_property
     def features(self) -> DataFrame:
-        return ft.contest_features(self.schedule, self.facts, self.span)
+        """Features of all contests; kept between runs at ``form_path``, where one is given.
+
+        Of kept features only those that changed facts reach are computed again.
+        """
+        if self.form_path is None:
+            return ft.contest_features(self.schedule, self.facts, self.span)
+        facts, kept = self.coded_facts, KeptForm(self.form_path, self.span)  # facts first: they tell the steps
+        changed = self.changed_steps
+        if changed is not None:
+            # A season may have begun with contests listed and none played.
+            near = range(self.current_week - 1, self.current_week + 2)
+            changed = changed | {(self.current_season, week) for week in near}
+        kept.refresh(facts, self.coded_schedule, changed)
+        return kept.features(facts.sparkSession)
 
     @cached_property
     def rankings(self) -> DataFrame:
@@ -120,7 +143,7 @@ class Build:
 
     @cached_property
     def combined(self) -> DataFrame:
-        features = written(self.features, "features")
+        features = self.features if self.form_path else written(self.features, "features")
         return cb.combine(
             features, self.rankings, self.ratings, self.lines, self.inputs.divisions
         )

@@ -645,6 +645,9 @@ SELECT r.season, r.week, team_name, r.team_abbr, {cols(fv.RATIO_INPUTS)}, {cols(
 FROM raw_form r LEFT JOIN coded_numbers n
   ON n.season = r.season AND n.week = r.week AND n.team_abbr = r.team_abbr
 WHERE from_prior""",
+    "refreshed_form": f"""
+SELECT season, week, team_name, team_abbr, from_prior, {cols(fv.RATIO_INPUTS)}, {cols(r6(c, c) for c in FORM)}
+FROM raw_form""",
     "missing_entities": """
 SELECT t.season, s.team_abbr, t.week
 FROM (SELECT DISTINCT season, team_abbr FROM numbers) s JOIN steps t ON t.season = s.season AND t.week > 1

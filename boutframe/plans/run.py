@@ -77,7 +77,7 @@ def build(
         divisions=league_divisions(spark) if groups is None else groups,
         codes=optional_table(spark, folder, "codes", schemas.CODES),
     )
-    job = Build(inputs, span, season, week, f"{out}/team_games", rebuild_facts)
+    job = Build(inputs, span, season, week, f"{out}/team_games", rebuild_facts, f"{out}/form")
     table = store.materialize(spark, f"{out}/all_data", lambda: job.all_data, True, keep_versions)
     outputs = {"completed_games": combine.completed(table), upcoming_name(season, week): combine.to_predict(table, as_of)}
     for name, rows in outputs.items():

@@ -131,11 +131,11 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
     return sorted(name for name in done if name.startswith("v"))
 
 
-def refresh_partitions(df: DataFrame, path: str, keep: Column, due: Column | None = None) -> None:
+def refresh_partitions(df: DataFrame, path: str, keep: Column, due: Column | None = None) -> set[tuple[int, int]]:
     """Overwrite the (season, week) partitions of ``path`` that the rows selected by ``keep`` are in.
 
     Stored partitions that are ``due``, by default those selected, and have no rows any more are
-    removed after the others are written.
+    removed after the others are written. Returns the steps that were written or removed.
     """
     spark = df.sparkSession
     rows = written(df.where(keep), "refresh")
@@ -148,8 +148,10 @@ def refresh_partitions(df: DataFrame, path: str, keep: Column, due: Column | Non
         .partitionBy("season", "week")
         .parquet(path)
     )
-    for season, week in before - _steps(rows):
+    after = _steps(rows)
+    for season, week in before - after:
         remove_folder(spark, f"{path}/season={season}/week={week}")
+    return after | before
 
 
 def _steps(df: DataFrame) -> set[tuple[int, int]]:
