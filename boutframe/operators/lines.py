@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from boutframe import fixed_values as fv
@@ -110,11 +110,9 @@ def with_abbreviations(lines: DataFrame, codes: DataFrame | None = None) -> Data
     return lines
 
 
-def line_quality(lines: DataFrame) -> DataFrame:
-    """Counts of rejected, defaulted and computed lines, in one pass."""
-    ok = has_spread_and_total()
-    keyed = with_choices(lines).withColumn("ok", ok)
-    return keyed.agg(
+def quality_counts() -> list[Column]:
+    """Counts over lines with their choices and ``ok``: rejected, defaulted and computed ones."""
+    return [
         F.count("*").alias("rows_seen"),
         F.count_if(~F.col("ok")).alias("rejected"),
         F.count_if(F.col("ok") & (F.col("spread_source") == "default")).alias("default_spreads"),
@@ -123,15 +121,31 @@ def line_quality(lines: DataFrame) -> DataFrame:
             F.count_if(F.col("ok") & quoted_moneyline(side).isNull()).alias(f"computed_{side}_moneylines")
             for side in ("home", "away")
         ],
-    )
+    ]
+
+
+def line_quality(lines: DataFrame) -> DataFrame:
+    """Counts of rejected, defaulted and computed lines, in a pass of their own."""
+    return with_choices(lines).withColumn("ok", has_spread_and_total()).agg(*quality_counts())
 
 
 def season_lines(
-    lines: DataFrame, codes: DataFrame | None = None, season: int | None = None
+    lines: DataFrame,
+    codes: DataFrame | None = None,
+    season: int | None = None,
+    quality: Observation | None = None,
 ) -> DataFrame:
-    """Final lines per contest in the fixed layout; one season or all at once."""
+    """Final lines per contest in the fixed layout; one season or all at once.
+
+    ``quality`` takes the counts of :func:`line_quality` while the result is written, so that the
+    quotes are read once; its values are there when the first action on the result has ended.
+    """
     kept = lines.drop(*fv.LINE_DROPS)
     if season is not None:
         kept = kept.where(F.col("season") == season)
-    coded = with_abbreviations(valid_lines(kept), codes)
-    return with_moneylines(with_choices(coded)).select(*fv.LINE_LAYOUT)
+    if quality is None:
+        chosen = with_choices(valid_lines(kept))
+    else:
+        judged = with_choices(kept).withColumn("ok", has_spread_and_total())
+        chosen = judged.observe(quality, *quality_counts()).where("ok").drop("ok")
+    return with_moneylines(with_abbreviations(chosen, codes)).select(*fv.LINE_LAYOUT)

@@ -315,6 +315,23 @@ def moneyline(spark, root):
     return priced.select("o_orderkey", "moneyline_source", "home_moneyline", "away_moneyline")
 
 
+@query
+def observed_line_quality(spark, root):
+    """The counts of ``line_validity``, taken while the final lines are written."""
+    d = Domain(spark, root)
+    inputs = Inputs(None, None, None, None, d.quotes(), None, d.code_lookup())
+    return Build(inputs, SPAN, AS_OF.year, CURRENT_WEEK).counted_lines[1]
+
+
+@query
+def lines_from_csv(spark, root):
+    """Quotes stored as plain CSV, read by their declared types, and the final lines of them."""
+    d, path = Domain(spark, root), _fresh(spark, "quotes")
+    quotes = d.quotes()
+    store.write_csv(quotes, path)
+    return ln.season_lines(store.read_lines(spark, path, quotes.schema), d.code_lookup())
+
+
 @query
 def season_lines(spark, root):
     d = Domain(spark, root)
@@ -730,6 +747,36 @@ def csv_declared(spark, root):
     return store.read_csv(spark, path, suppliers.schema)
 
 
+@query
+def csv_unnamed(spark, root):
+    """Customers from the first CSV file of a list that is there, less the index column it came with."""
+    path, customers = _fresh(spark, "customers"), Domain(spark, root).table("customer")
+    indexed = customers.select(F.monotonically_increasing_id().alias("Unnamed: 0"), "*")
+    store.write_csv(indexed, path)
+    return store.read_first_csv(spark, [None, f"{path}-missing", path], customers.schema)
+
+
+@query
+def record_lists(spark, root):
+    """Items from one JSON list of records per order; a field that a record lacks is null."""
+    items = Domain(spark, root).table("lineitem")
+    quantity = F.when(F.col("l_linenumber") % 4 > 0, F.col("l_quantity")).alias("quantity")
+    record = F.struct(F.col("l_linenumber").alias("line"), quantity, F.col("l_returnflag").alias("flag"))
+    lists = items.groupBy("l_orderkey").agg(F.to_json(F.collect_list(record)).alias("records"))
+    return store.records_in(lists, "records", "line int, quantity double, flag string, absent string")
+
+
+@query
+def stamped_dates(spark, root):
+    """Dates of orders as text, some unreadable or missing, as timestamps or null."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    spoiled = (
+        F.when(key % 11 == 0, F.lit("unknown")).when(key % 13 == 0, F.concat(F.substring(day, 1, 5), F.lit("13-45")))
+        .when(key % 17 == 0, F.lit("")).when(key % 19 != 0, day)
+    )
+    return cb.stamp_dates(Domain(spark, root).table("orders").select("o_orderkey", spoiled.alias("date")))
+
+
 @query
 def missing_values(spark, root):
     """Account balances with some NaN, which count as missing from reading on."""

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from boutframe.functions.calendar import SeasonSpan
@@ -141,6 +141,15 @@ class Build:
     def lines(self) -> DataFrame:
         return season_lines(self.inputs.lines, self.inputs.codes)
 
+    @cached_property
+    def counted_lines(self) -> tuple[DataFrame, DataFrame]:
+        """The lines, written, and one row of counts that were taken in the same pass."""
+        counts = Observation("line_quality")
+        lines = written(season_lines(self.inputs.lines, self.inputs.codes, quality=counts), "lines")
+        found = counts.get
+        schema = ", ".join(f"{name} long" for name in found)
+        return lines, lines.sparkSession.createDataFrame([tuple(found.values())], schema)
+
     @cached_property
     def combined(self) -> DataFrame:
         features = self.features if self.form_path else written(self.features, "features")

@@ -828,6 +828,16 @@ SELECT season, week, pass, count(*) AS orders FROM (
   FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS season, CAST(month(o_orderdate) AS INTEGER) AS week FROM orders)
   WHERE NOT (season = 1997 AND week = 3)) GROUP BY 1, 2, 3"""
 BODY["csv_round_trip"] = "SELECT * FROM customer"
+BODY["csv_unnamed"] = "SELECT * FROM customer"
+BODY["record_lists"] = """
+SELECT l_orderkey, l_linenumber::INTEGER AS line, CASE WHEN l_linenumber % 4 > 0 THEN l_quantity::DOUBLE END AS quantity,
+  l_returnflag AS flag, NULL::VARCHAR AS absent FROM lineitem"""
+BODY["stamped_dates"] = """
+SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 11 = 0 THEN 'unknown'
+  WHEN o_orderkey % 13 = 0 THEN strftime(o_orderdate, '%Y-') || '13-45' WHEN o_orderkey % 17 = 0 THEN ''
+  WHEN o_orderkey % 19 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS TIMESTAMP) AS date FROM orders"""
+BODY["observed_line_quality"] = BODY["line_validity"]
+BODY["lines_from_csv"] = BODY["season_lines"]
 BODY["csv_declared"] = "SELECT * FROM supplier"
 BODY["missing_values"] = "SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS balance FROM customer"
 

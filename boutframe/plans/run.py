@@ -78,7 +78,9 @@ def build(
         codes=optional_table(spark, folder, "codes", schemas.CODES),
     )
     job = Build(inputs, span, season, week, f"{out}/team_games", rebuild_facts, f"{out}/form")
+    job.lines, quality = job.counted_lines
     table = store.materialize(spark, f"{out}/all_data", lambda: job.all_data, True, keep_versions)
+    store.materialize(spark, f"{out}/line_quality", lambda: quality, True, keep_versions)
     outputs = {"completed_games": combine.completed(table), upcoming_name(season, week): combine.to_predict(table, as_of)}
     for name, rows in outputs.items():
         store.materialize(spark, f"{out}/{name}", lambda rows=rows: rows, True, keep_versions)

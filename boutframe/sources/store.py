@@ -233,6 +233,18 @@ def from_records(spark: SparkSession, records: list[dict], schema: T.StructType)
     return spark.createDataFrame(rows, schema)
 
 
+def records_in(df: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
+    """A row per record of the JSON lists in ``column``, with the declared fields after the others.
+
+    Fields that a record lacks are null and others are ignored; a list that is null, empty or
+    unreadable gives no rows.
+    """
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    records = F.from_json(F.col(column), T.ArrayType(declared))
+    others = [c for c in df.columns if c != column]
+    return df.select(*others, F.inline(records))
+
+
 def no_nan(df: DataFrame) -> DataFrame:
     """NaN to null in every floating column: missing means null from here on."""
     floating = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

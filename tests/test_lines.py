@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Observation
 
 from boutframe import schemas
 from boutframe.operators import lines as ln
@@ -87,3 +88,19 @@ def test_sides_mirror(spark):
     assert all(r["away_spread"] == -r["home_spread"] for r in out)
     by_spread = {r["home_spread"]: r["home_moneyline"] for r in out}
     assert all(r["away_moneyline"] == by_spread[r["away_spread"]] for r in out)
+
+
+def test_counts_come_with_the_write_and_without_another_scan(spark, tmp_path):
+    good = {"home_spread_last": -3.0, "total_line_last": 41.5}
+    rows = [line(), line(**good), line(**good, home_ml_last=-150.0), line(home_spread_open=2.0, total_line_open=40.0)]
+    spark.createDataFrame(rows, schemas.LINES).write.parquet(f"{tmp_path}/quotes")
+    quotes = spark.read.parquet(f"{tmp_path}/quotes")
+    counts = Observation("quality")
+    out = ln.season_lines(quotes, quality=counts)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CollectMetrics") == 1 and plan.count("Relation [") == 1
+    out.write.parquet(f"{tmp_path}/lines")
+    assert counts.get == ln.line_quality(quotes).first().asDict()
+    plain = ln.season_lines(quotes)
+    stored = spark.read.parquet(f"{tmp_path}/lines")
+    assert plain.exceptAll(stored).count() == 0 == stored.exceptAll(plain).count()

@@ -159,3 +159,9 @@ def test_a_failed_build_leaves_the_old_version_and_no_folder(spark, tmp_path):
         store.materialize(spark, path, lambda: spark.range(9).select(F.raise_error(F.lit("lost"))), force=True)
     assert spark.read.parquet(store.newest_version(spark, path)).count() == 3
     assert [p.name for p in (tmp_path / "stage").iterdir()] == ["v000001"]
+
+
+def test_records_of_json_lists(spark):
+    rows = [(1, '[{"a": 1, "b": "x", "more": 5}, {"b": "y"}]'), (2, "[]"), (3, None), (4, "no list"), (5, '[{"a": 2}]')]
+    out = store.records_in(spark.createDataFrame(rows, "id int, j string"), "j", "a int, b string").collect()
+    assert [tuple(r) for r in out] == [(1, 1, "x"), (1, None, "y"), (5, 2, None)]
