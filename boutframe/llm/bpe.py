@@ -39,14 +39,18 @@ REMEMBERED = 400_000
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """A rank file's content and the pattern that splits texts before the merges."""
+    """A rank file's content, the pattern that splits texts before the merges, and disputed characters.
+
+    ``disputed`` has ranges of characters, first and last, with what stands in for them (:func:`disputes`).
+    """
 
     ranks: bytes
     pattern: str
+    disputed: tuple[tuple[int, int, str], ...]
 
     @classmethod
     def read(cls, path: str, pattern: str) -> Vocabulary:
-        return cls(Path(path).read_bytes(), pattern)
+        return cls(Path(path).read_bytes(), pattern, disputes())
 
 
 @lru_cache(maxsize=2)
@@ -67,7 +71,11 @@ class Codec:
         self.merger = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.split = regex.compile(vocabulary.pattern).findall
-        self.beyond, self.disputed, self.stand_ins = _disputes()
+        ranges = vocabulary.disputed
+        spans = "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b, _ in ranges)
+        self.beyond = re.compile(f"[{chr(ranges[0][0])}-{chr(0x10FFFF)}]") if ranges else None
+        self.disputed = re.compile(f"[{spans}]") if ranges else None
+        self.stand_ins = {c: stand_in for a, b, stand_in in ranges for c in range(a, b + 1)}
         self.known: dict[str, bytes] = {}
 
     def lengths(self, text: str) -> list[int]:
@@ -97,29 +105,32 @@ class Codec:
 
 
 @lru_cache(maxsize=1)
-def _disputes():
-    """Characters whose class the pattern engine here and tiktoken's see differently, and stand-ins.
+def disputes() -> tuple[tuple[int, int, str], ...]:
+    """Characters whose class the pattern engine here and tiktoken's see differently, as ranges.
 
-    The two follow different versions of Unicode. Stand-ins have the class that tiktoken sees.
+    The two follow different versions of Unicode. A stand-in has the class that tiktoken sees. They
+    are found once, on the driver, as looking at all characters takes more memory than a worker's share.
     """
     import regex
     import tiktoken
 
     every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
     single = {bytes([b]): b for b in range(256)}
-    seen, wrong = {}, set()
+    stand_ins, wrong = {}, set()
     for kind, stand_in in ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"\s", "\t")):
         probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks=single, special_tokens={})
         theirs = set(bytes(probe.encode_ordinary(every)).decode())
-        wrong |= theirs.symmetric_difference(regex.findall(kind, every))
-        seen |= dict.fromkeys(theirs, stand_in)
-    if not wrong:
-        return None, None, {}
-    points = np.array(sorted(map(ord, wrong)))
-    ranges = np.split(points, np.flatnonzero(np.diff(points) > 1) + 1)
-    disputed = "".join(f"{re.escape(chr(r[0]))}-{re.escape(chr(r[-1]))}" for r in ranges)
-    beyond = re.compile(f"[{chr(points[0])}-{chr(0x10FFFF)}]")
-    return beyond, re.compile(f"[{disputed}]"), {ord(c): seen.get(c, "!") for c in wrong}
+        differ = theirs.symmetric_difference(regex.findall(kind, every))
+        wrong |= differ
+        stand_ins |= dict.fromkeys(theirs & differ, stand_in)
+    ranges: list[tuple[int, int, str]] = []
+    for c in sorted(wrong):
+        stand_in = stand_ins.get(c, "!")
+        if ranges and ranges[-1][1] == ord(c) - 1 and ranges[-1][2] == stand_in:
+            ranges[-1] = (ranges[-1][0], ord(c), stand_in)
+        else:
+            ranges.append((ord(c), ord(c), stand_in))
+    return tuple(ranges)
 
 
 @dataclass(frozen=True)
