@@ -71,11 +71,15 @@ def exact_groups(
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text a row with a larger id repeats; columns unchanged."""
+    """``docs`` without the rows whose text a row with a larger id repeats.
+
+    Columns stay as they are, whatever their names; only texts whose id is that of some dropped row
+    are hashed again.
+    """
     verdicts = exact_groups(docs, id_col, text_col).filter("not kept")
-    dropped = verdicts.select(F.col(id_col).alias("dropped_id"), F.col("text_sha256").alias("dropped_sha256")).distinct()
+    dropped = verdicts.select(F.col(id_col).alias("dropped_id"), F.col("text_sha256").alias("sha256")).distinct()
     # Ids may repeat or be null, so a row goes by its text too.
-    return without(docs, [docs[id_col], _digest(docs[text_col])], written(dropped, "exact-dropped"))
+    return without(docs, id_col, text_col, written(dropped, "exact-dropped"), lambda text: {"sha256": _digest(text)})
 
 
 def _digest(text: Column) -> Column:

@@ -16,8 +16,9 @@ from collections.abc import Callable, Iterator
 from math import log
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boutframe.llm.components import components
@@ -247,22 +248,28 @@ def _stars(ids: np.ndarray, groups: list[np.ndarray]) -> list[tuple[int, int]]:
 SKETCH_SCHEMA = "n_shingles long, set_sum long, set_xor long, sketch binary"
 
 
+#: What tells one shingle set from another.
+SETS = ["n_shingles", "set_sum", "set_xor"]
+
+
+def checksums(shingles: np.ndarray) -> tuple[int, int, int]:
+    """The values of ``SETS`` for a set."""
+    total = mixed(shingles).sum(dtype=_U).view(np.int64)
+    return len(shingles), int(total), int(np.bitwise_xor.reduce(mixed(shingles + _STEP), dtype=_U).view(np.int64))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """(id, text) -> id, set size, two checksums of the set, and the sketch (null without words)."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py() or b"") for t in batch.column("text")]
-            full = [s for s in sets if len(s)]
+            full, sums = [s for s in sets if len(s)], list(map(checksums, sets))
             rows = iter(sketches(full)) if full else iter(())
             yield pa.record_batch(
                 {
                     "id": batch.column("id"),
-                    "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_sum": pa.array([int(mixed(s).sum(dtype=_U).view(np.int64)) for s in sets], pa.int64()),
-                    "set_xor": pa.array(
-                        [int(np.bitwise_xor.reduce(mixed(s + _STEP), dtype=_U).view(np.int64)) for s in sets], pa.int64()
-                    ),
+                    **{c: pa.array([v[i] for v in sums], pa.int64()) for i, c in enumerate(SETS)},
                     "sketch": pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
                 }
             )
@@ -303,22 +310,27 @@ def coarse_edges(nodes: DataFrame) -> DataFrame:
 def confirmed_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
     """Edges that connect all documents of a coarse group that are linked by their full sets."""
     # Each representative of a coarse group, with its text.
-    wanted = groups.join(nodes, "id").select(F.col("id").alias("node"), "component", "n_shingles", "sketch")
+    wanted = groups.join(nodes, "id").select(F.col("id").alias("node"), "doc", "component", *SETS, "sketch")
     sizes = wanted.groupBy("component").agg(F.sum(F.col("n_shingles") * 8 + 600).alias("bytes"))
     sizes = sizes.select(F.col("component").alias("c"), F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
     wanted = written(wanted.join(written(sizes, "near-sizes"), F.col("component") == F.col("c")).drop("c"), "near-wanted")
-    texts = marked(docs, sieve(wanted, F.xxhash64("node")), F.xxhash64("id"), "maybe").filter("maybe").drop("maybe")
-    members = texts.join(wanted, F.col("id") == F.col("node")).drop("node")
+    texts = marked(docs, sieve(wanted, F.xxhash64("doc")), F.xxhash64("id"), "maybe").filter("maybe").drop("maybe")
+    members = texts.join(wanted, F.col("id") == F.col("doc")).drop("id", "doc").withColumnRenamed("node", "id")
 
     kept = ["component", "blocks", "id", "n_shingles", "sketch"]
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column("text")]
-            yield pa.record_batch({c: batch.column(c) for c in kept} | {"shingles": pa.array(sets, pa.binary())})
+            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+            # Rows may share an id and not a text: only those with the node's own set are the node.
+            asked = zip(*(batch.column(c).to_pylist() for c in SETS))
+            own = pa.array([checksums(s) == a for s, a in zip(sets, asked)], pa.bool_())
+            shingles = pa.array([s.tobytes() for s in sets], pa.binary())
+            rows = pa.record_batch({c: batch.column(c) for c in kept} | {"shingles": shingles})
+            yield rows.filter(own)
 
     schema = "component long, blocks int, id long, n_shingles long, sketch binary, shingles binary"
-    members = members.select(*kept, "text").mapInArrow(with_sets, schema)
+    members = members.select(*dict.fromkeys([*kept, *SETS]), "text").mapInArrow(with_sets, schema)
     return _walk(_in_block_pairs(members, ["component"]), ["component", "one", "two"], with_sets=True)
 
 
@@ -387,27 +399,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Linked are documents with 100 * intersection >= 85 * union of their shingle sets; component_id
     is the smallest id reachable over links and kept marks that document. Null, empty and wordless
-    texts have no shingles, are linked with nothing and stay. Ids are taken as unique: rows that
-    repeat an id with the same text share a verdict, a row without an id is linked with nothing,
-    has no component and stays. Other columns are ignored.
+    texts have no shingles, are linked with nothing and stay. Rows that share an id and a set share
+    a verdict; those that share an id and not a set are documents of their own. A row without an id
+    is linked with nothing, has no component and stays. Other columns are ignored.
     """
-    small_batches(docs.sparkSession, 256)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
-    known = written(sketched(rows), "near-sketches")
-    nodes = known.filter("id IS NOT NULL AND n_shingles > 0")
-    # Equal sets are one node, under the smallest id.
-    sets = ["set_sum", "set_xor", "n_shingles"]
-    nodes = written(nodes.groupBy(*sets).agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "near-nodes")
-    coarse = components(coarse_edges(nodes))
-    found = components(confirmed_edges(rows, nodes, coarse))
-    named = nodes.select(*[F.col(c).alias(f"of_{c}") for c in sets], F.col("id").alias("node"))
-    found = found.withColumnRenamed("id", "linked")
-    named = named.join(found, F.col("node") == F.col("linked"), "left").withColumn("least", F.coalesce("component", "node"))
-    named = written(named.drop("linked", "component", "node"), "near-named")
-    same = [F.col(c) == F.col(f"of_{c}") for c in sets]
-    full = known.filter("n_shingles > 0 AND id IS NOT NULL").select("id", *sets).join(named, same)
-    alone = known.filter("NOT (n_shingles > 0 AND id IS NOT NULL)").withColumn("least", F.col("id"))
-    out = full.select("id", "n_shingles", "least").unionByName(alone.select("id", "n_shingles", "least"))
+    out = _grouped(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType
     return out.select(
         F.col("id").cast(kind).alias(id_col),
@@ -417,8 +413,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Each row's id, what tells its set, and ``least``, the smallest id of its group."""
+    small_batches(docs.sparkSession, 256)
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("binary").alias("text"))
+    known = written(sketched(rows), "near-sketches")
+    nodes = known.filter("id IS NOT NULL AND n_shingles > 0")
+    # Equal sets are one node; its smallest id may be another's too, so nodes have numbers.
+    nodes = nodes.groupBy(*SETS).agg(F.min("id").alias("doc"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()), "near-nodes")
+    coarse = components(coarse_edges(nodes))
+    found = written(components(confirmed_edges(rows, nodes, coarse)).withColumnRenamed("id", "linked"), "near-linked")
+    least = found.join(nodes, F.col("id") == F.col("linked")).groupBy(F.col("component").alias("of")).agg(F.min("doc").alias("first"))
+    least = found.join(least, F.col("component") == F.col("of")).select("linked", "first")
+    named = nodes.select(*[F.col(c).alias(f"of_{c}") for c in SETS], F.col("id").alias("node"), "doc")
+    named = named.join(least, F.col("node") == F.col("linked"), "left").withColumn("least", F.coalesce("first", "doc"))
+    named = written(named.drop("linked", "first", "node", "doc"), "near-named")
+    same = [F.col(c) == F.col(f"of_{c}") for c in SETS]
+    full = known.filter("n_shingles > 0 AND id IS NOT NULL").select("id", *SETS).join(named, same)
+    alone = known.filter("NOT (n_shingles > 0 AND id IS NOT NULL)").withColumn("least", F.col("id"))
+    return full.select("id", *SETS, "least").unionByName(alone.select("id", *SETS, "least"))
+
+
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates; columns unchanged."""
-    verdicts = near_groups(docs, id_col, text_col)
-    dropped = written(verdicts.filter("NOT kept").select(F.col(id_col).alias("dropped_id")).distinct(), "near-dropped")
-    return without(docs, docs[id_col], dropped)
+    """``docs`` with one document of each group of near duplicates; columns unchanged.
+
+    Rows go by their id and their set of shingles, so of rows that share an id only those go whose
+    own text is a copy.
+    """
+    verdicts = _grouped(docs, id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("least")))
+    dropped = written(verdicts.select(F.col("id").cast(docs.schema[id_col].dataType).alias("dropped_id"), *SETS).distinct(), "near-dropped")
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in SETS))
+    def own_set(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([checksums(shingle_set(t)) for t in texts], columns=SETS)
+
+    def named(text: Column) -> dict[str, Column]:
+        found = own_set(F.coalesce(text.cast("binary"), F.lit(b"")))
+        return {c: found[c] for c in SETS}
+
+    return without(docs, id_col, text_col, dropped, named)

@@ -6,6 +6,8 @@ input, so it may be broadcast. A set bit may be another row's doing; a clear one
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,21 @@ def marked(rows: DataFrame, words: DataFrame, hashed: Column, name: str) -> Data
     return known.withColumn(name, F.coalesce(bit == 1, F.lit(False))).select(*rows.columns, name)
 
 
-def without(rows: DataFrame, key: Column | list[Column], dropped: DataFrame) -> DataFrame:
-    """``rows`` whose key is not among the rows of ``dropped``, one column per part; nulls are equal.
+def without(
+    docs: DataFrame, id_col: str, text_col: str, dropped: DataFrame, named: Callable[[Column], dict[str, Column]]
+) -> DataFrame:
+    """``docs`` without the rows that ``dropped`` names, whatever their columns are called.
 
-    Rows that the sieve clears stay where they are; only the others are joined.
+    ``dropped`` has ``dropped_id`` and the columns that ``named`` makes of a text; nulls are equal.
+    Rows whose id the sieve clears stay where they are; only the others' texts are looked at.
     """
-    keys = key if isinstance(key, list) else [key]
-    sifted = marked(rows, sieve(dropped, F.xxhash64(*dropped.columns)), F.xxhash64(*keys), "sieve_maybe")
-    clear = sifted.filter(~F.col("sieve_maybe")).drop("sieve_maybe")
-    asked = sifted.filter("sieve_maybe").drop("sieve_maybe")
-    same = [k.eqNullSafe(dropped[name]) for k, name in zip(keys, dropped.columns, strict=True)]
-    return clear.union(asked.join(dropped, same, "left_anti"))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    carried = docs.select(whole, docs[id_col].alias("id"), docs[text_col].alias("text"))
+    sifted = marked(carried, sieve(dropped, F.xxhash64("dropped_id")), F.xxhash64("id"), "maybe")
+    asked = sifted.filter("maybe").withColumns({f"own_{name}": e for name, e in named(F.col("text")).items()})
+    same = F.col("id").eqNullSafe(F.col("dropped_id"))
+    for name in dropped.columns:
+        if name != "dropped_id":
+            same = same & F.col(f"own_{name}").eqNullSafe(F.col(name))
+    left = asked.join(dropped, same, "left_anti")
+    return sifted.filter(~F.col("maybe")).select("row.*").union(left.select("row.*"))

@@ -83,3 +83,11 @@ def test_sieve_never_loses_a_row(spark):
     rows = marked(asked, sieve(held, F.xxhash64("id")), F.xxhash64("id"), "maybe").collect()
     assert all(r["maybe"] for r in rows if r["id"] % 3 == 0)
     assert sum(r["maybe"] for r in rows) < 1100
+
+
+@pytest.mark.parametrize("name", ["sieve_slot", "sieve_word", "sieve_maybe", "maybe", "row", "id", "own_sha256", "dropped_id"])
+def test_columns_of_any_name_come_back(spark, documents, name):
+    docs = documents((1, "same"), (2, "same"), (3, "alone"), (None, "same"), extra=name)
+    kept = exact.drop_exact(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r[name]) for r in kept.collect()) == [(2, "x"), (3, "x")]

@@ -164,3 +164,28 @@ def test_components(spark, seed):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     ends = {i for a, b in edges if a != b for i in (a, b)}
     assert got == {i: c for i, c in want.items() if i in ends}
+
+
+WORDS = [f"word{k}" for k in range(80)]
+
+
+@pytest.mark.parametrize("name", ["note", "sieve_slot", "sieve_word", "maybe", "row", "text2", "n_shingles", "set_sum", "doc"])
+def test_rows_that_share_an_id_go_by_their_text(spark, documents, name):
+    """A copy goes; the other text under the same id stays, as do all columns, whatever they are called."""
+    text, other, third = " ".join(WORDS), "something else entirely " * 9, " ".join(WORDS[::-1])
+    near = text + " more"
+    rows = [(1, text), (7, near), (7, other), (9, third), (9, None), (12, text), (None, text), (None, near)]
+    docs = documents(*rows, extra=name)
+    kept = ss.drop_near(docs)
+    assert kept.columns == docs.columns
+    want = [(1, text), (7, other), (9, third), (9, None), (None, text), (None, near)]
+    assert sorted(((r["doc_id"], r["text"], r[name]) for r in kept.collect()), key=str) == sorted(((*w, "x") for w in want), key=str)
+    groups = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"]) for r in ss.near_groups(docs).collect() if r["doc_id"])
+    assert (7, 77, 1) in groups and [g for g in groups if g[0] == 7 and g[2] == 7]
+
+
+def test_the_smallest_id_of_a_chain_is_found_among_clashing_ids(spark, documents):
+    chain = [" ".join(WORDS[k:] + [f"end{j}" for j in range(k)]) for k in (0, 2, 4)]
+    rows = [(5, chain[2]), (6, chain[1]), (5, "lone " * 30), (6, chain[0]), (3, "unlike " * 30)]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in ss.near_groups(documents(*rows)).collect())
+    assert got == [(3, 3, True), (5, 5, True), (5, 5, True), (6, 5, False), (6, 5, False)]
