@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boutframe.llm.tables import small_batches
 from boutframe.session import written
 
 CHUNK = 16_384
@@ -183,6 +184,7 @@ def encode(
     """
     if not LOOKAHEAD < overlap <= chunk:
         raise ValueError("an overlap is longer than the look-ahead, and not longer than a chunk")
+    small_batches(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), F.monotonically_increasing_id().alias("row"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -291,7 +293,7 @@ def _encoder(vocabulary: Vocabulary):
             texts = batch.column("text").to_pylist()
             if "lengths" in batch.schema.names:
                 limits = (batch.column(c).to_pylist() for c in ("lengths", "begin", "stop"))
-                pieces = [_between(*x) for x in zip(texts, *limits)]
+                pieces = (_between(*x) for x in zip(texts, *limits))  # one text's at a time
                 parts = batch.column("part")
             else:
                 pieces, parts = map(own.pieces, texts), pa.array([0] * len(texts), pa.int64())

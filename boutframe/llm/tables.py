@@ -29,5 +29,6 @@ def held_out(doc_id: Column) -> Column:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
+    """Bound what one Arrow batch of whole texts holds, in rows and, where texts are long, in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
