@@ -34,9 +34,9 @@ def stat_differences(contests: DataFrame) -> DataFrame:
     return contests.selectExpr("*", *[f"away_{s} - home_{s} AS {s}_diff" for s in COMPARED])
 
 
-def join_results(contests: DataFrame, facts: DataFrame) -> DataFrame:
-    """Scores and the away side's outcome, matched on the away entity's facts."""
-    results = facts.select(
+def results_of(facts: DataFrame) -> DataFrame:
+    """Scores and outcome of each step and away entity."""
+    return facts.select(
         "season",
         "week",
         F.col("team_name").alias("away_name"),
@@ -45,7 +45,17 @@ def join_results(contests: DataFrame, facts: DataFrame) -> DataFrame:
         F.col("points_allowed").alias("home_score"),
         F.col("game_won").alias("result"),
     )
-    return contests.join(results, ["season", "week", "away_name", "away_abbr"], "left")
+
+
+def join_results(contests: DataFrame, facts: DataFrame) -> DataFrame:
+    """Scores and the away side's outcome, matched on the away entity's facts."""
+    return contests.join(results_of(facts), ["season", "week", "away_name", "away_abbr"], "left")
+
+
+def covered(schedule: DataFrame, span: SeasonSpan) -> DataFrame:
+    """Contests of the span but for its first step, which no season precedes."""
+    first_step = (F.col("season") == span.first) & (F.col("week") == 1)
+    return schedule.where(span.covers(F.col("season"), F.col("week")) & ~first_step)
 
 
 def contest_features(schedule: DataFrame, facts: DataFrame, span: SeasonSpan) -> DataFrame:
@@ -61,7 +71,5 @@ def contest_features(schedule: DataFrame, facts: DataFrame, span: SeasonSpan) ->
 
 def features_of(schedule: DataFrame, facts: DataFrame, form: DataFrame, span: SeasonSpan) -> DataFrame:
     """:func:`contest_features` from a form at hand; all three tables have standard codes."""
-    first_step = (F.col("season") == span.first) & (F.col("week") == 1)
-    wanted = schedule.where(span.covers(F.col("season"), F.col("week")) & ~first_step)
     # Results first, while rows are narrow; differences last, so no exchange carries them.
-    return stat_differences(join_form(join_results(wanted, facts), form))
+    return stat_differences(join_form(join_results(covered(schedule, span), facts), form))

