@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boutframe import fixed_values as fv
 from boutframe.functions import calendar as cal
@@ -13,6 +15,7 @@ from boutframe.functions.scalars import modern_name
 from boutframe.operators.features import prefixed
 from boutframe.operators.lookups import same_group
 from boutframe.operators.ratings import rating_differences
+from boutframe.sources import store
 
 COUNTED_AT_ONCE = 64
 
@@ -63,19 +66,58 @@ def combine(
     )
 
 
-def drop_all_null(df: DataFrame) -> DataFrame:
+def drop_all_null(df: DataFrame, path: str | None = None) -> DataFrame:
     """Drop columns without a single value.
 
-    Pass a written table: each counting pass then reads its own columns only. Wide
-    tables are counted in slices, as one aggregate over all columns outgrows the
-    size the JVM compiles.
+    With ``path``, where exactly these rows are stored as Parquet, the footers of the files tell and
+    no row is read, but for columns they say nothing of. Without, pass a written table: each
+    counting pass then reads its own columns only. Wide tables are counted in slices, as one
+    aggregate over all columns outgrows the size the JVM compiles.
     """
-    empty = []
-    for start in range(0, len(df.columns), COUNTED_AT_ONCE):
-        names = df.columns[start : start + COUNTED_AT_ONCE]
-        counts = df.agg(*[F.count(c).alias(c) for c in names]).first()
-        empty += [c for c in names if counts[c] == 0]
-    return df.drop(*empty)
+    known = counts_in_footers(df.sparkSession, path) if path else {}
+    counts = known | values_counted(df, [c for c in df.columns if c not in known])
+    return df.drop(*[c for c in df.columns if counts[c] == 0])
+
+
+def values_counted(df: DataFrame, names: list[str]) -> dict[str, int]:
+    """Values of each column that are not null, from the rows."""
+    counts: dict[str, int] = {}
+    for start in range(0, len(names), COUNTED_AT_ONCE):
+        some = names[start : start + COUNTED_AT_ONCE]
+        row = df.agg(*[F.count(f"`{c}`").alias(c) for c in some]).first()
+        counts |= dict(zip(some, row))
+    return counts
+
+
+def counts_in_footers(spark: SparkSession, path: str) -> dict[str, int]:
+    """:func:`values_counted` of a Parquet table from the footers of its files; no row is read.
+
+    Left out are arrays, maps, structs and variants, whose footers count what is inside them, and all
+    columns asked about together with one that some file keeps no counts of. A table without files
+    gives nothing.
+    """
+    if store.read_if_present(spark, path) is None:
+        return {}
+    table = footer_table(spark, path)
+    plain = [f.name for f in table.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    counts: dict[str, int] = {}
+    for start in range(0, len(plain), COUNTED_AT_ONCE):
+        some = plain[start : start + COUNTED_AT_ONCE]
+        try:
+            counts |= values_counted(table, some)
+        except Py4JJavaError as problem:
+            # A footer without statistics: the rows have to be counted.
+            if "spark.sql.parquet.aggregatePushdown" not in str(problem):
+                raise
+    return counts
+
+
+def footer_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table read by the source that answers counts from footers, in a session of its own."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path)
 
 
 def stamp_dates(df: DataFrame) -> DataFrame:

@@ -465,6 +465,24 @@ def feature_table(spark, root):
     )
 
 
+@query
+def footer_counts(spark, root):
+    """Values of every column of a stored table with gaps, without reading a row of it."""
+    path, key = _fresh(spark, "holed"), F.col("l_orderkey")
+    items = Domain(spark, root).table("lineitem")
+    holed = items.select(
+        "l_orderkey",
+        F.when(key % 3 > 0, F.col("l_quantity")).alias("quantity"),
+        F.when(key % 7 == 0, F.col("l_returnflag")).alias("flag"),
+        F.when(key < 0, F.col("l_tax")).alias("tax"),
+    )
+    holed.write.parquet(path)
+    counts = cb.counts_in_footers(spark, path)
+    left = cb.drop_all_null(spark.read.parquet(path), path).columns
+    rows = [(name, counts[name], name in left) for name in holed.columns]
+    return spark.createDataFrame(rows, "column string, n_values long, kept boolean")
+
+
 @query
 def completed(spark, root):
     return rounded(build(spark, root).completed)
@@ -492,6 +510,18 @@ def nested_flatten(spark, root):
     return flat.select("event_id", F.array_join("path", "/").alias("path"), "leaf")
 
 
+@query
+def variant_flatten(spark, root):
+    """(path, leaf) rows of JSON documents that are nested to depths of their own."""
+    events = Domain(spark, root).table("events")
+    text, depth = F.col("props"), F.col("event_id") % 4
+    for level in range(1, 4):
+        deeper = F.concat(F.lit(f'{{"level{level}": ['), text, F.lit(', 7], "none": null, "empty": {}, "by": "'), "event_type", F.lit('"}'))
+        text = F.when(depth >= level, deeper).otherwise(text)
+    flat = rs.flatten_variant(events.select("event_id", F.parse_json(text).alias("record")), "record", ["event_id"])
+    return flat.select("event_id", F.array_join("path", "/").alias("path"), F.col("leaf").cast("string").alias("leaf"))
+
+
 @query
 def nested_table(spark, root):
     """Innermost keys as columns, outer path as row key."""

@@ -19,7 +19,7 @@ from boutframe.operators.kept_form import KeptForm, steps_of
 from boutframe.operators.lines import season_lines
 from boutframe.operators.rankings import season_rankings
 from boutframe.operators.ratings import season_ratings
-from boutframe.session import written, written_together
+from boutframe.session import written, written_path, written_together
 from boutframe.sources import store
 
 
@@ -160,7 +160,10 @@ class Build:
     @cached_property
     def feature_table(self) -> DataFrame:
         """The final table without all-null columns, unordered."""
-        return cb.stamp_dates(cb.drop_all_null(written(self.combined, "combined")))
+        combined = self.combined
+        path = written_path(combined, "combined")
+        stored = combined.sparkSession.read.schema(combined.schema).parquet(path)
+        return cb.stamp_dates(cb.drop_all_null(stored, path))
 
     @cached_property
     def all_data(self) -> DataFrame:

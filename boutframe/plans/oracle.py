@@ -674,6 +674,11 @@ SELECT {cols(f"f.{k}" for k in FEATURE_KEYS)}, {cols(r6(f"f.{c}", c) for c in [*
 FROM features f
 LEFT JOIN filled_rankings ra ON ra.season = f.season AND ra.week = f.week AND ra.abbr = f.away_abbr
 LEFT JOIN filled_rankings rh ON rh.season = f.season AND rh.week = f.week AND rh.abbr = f.home_abbr""",
+    "footer_counts": """
+SELECT UNNEST(['l_orderkey', 'quantity', 'flag', 'tax']) AS "column",
+  UNNEST([n, quantity, flag, tax]) AS n_values, UNNEST([n > 0, quantity > 0, flag > 0, tax > 0]) AS kept
+FROM (SELECT count(*) AS n, count(l_quantity) FILTER (l_orderkey % 3 > 0) AS quantity,
+  count(l_returnflag) FILTER (l_orderkey % 7 = 0) AS flag, count(l_tax) FILTER (l_orderkey < 0) AS tax FROM lineitem)""",
     "season_start": f"""
 SELECT year, orders, {season_start('year')} AS season_start, {anchor('year')} AS week_one
 FROM (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS orders FROM orders GROUP BY 1)""",
@@ -769,6 +774,21 @@ WHERE output IS NOT NULL GROUP BY 1, 2, 3""",
     "nested_flatten": """
 SELECT event_id, event_type || '/' || key AS path, CAST(json_extract(props, '$.' || key) AS INTEGER) AS leaf
 FROM (SELECT event_id, event_type, props, unnest(json_keys(props)) AS key FROM events)""",
+    "variant_flatten": """
+WITH docs AS (
+  SELECT event_id, event_type, (event_id % 4)::INT AS depth,
+    array_to_string([printf('level%d/0/', (event_id % 4)::INT - k) FOR k IN range((event_id % 4)::INT)], '') AS above, props FROM events
+), parts AS (  -- what each level adds around the one below
+  SELECT event_id, event_type, unnest(range(1, depth + 1)) AS level, depth FROM docs
+), around AS (
+  SELECT event_id, event_type, level,
+    array_to_string([printf('level%d/0/', (depth - k)::INT) FOR k IN range(depth - level)], '') AS above FROM parts
+)
+SELECT event_id, above || key AS path, json_extract_string(props, '$.' || key) AS leaf
+FROM (SELECT *, unnest(json_keys(props)) AS key FROM docs)
+UNION ALL SELECT event_id, above || 'level' || level || '/1', '7' FROM around
+UNION ALL SELECT event_id, above || 'none', NULL FROM around
+UNION ALL SELECT event_id, above || 'by', event_type FROM around""",
     "nested_table": """
 SELECT event_id, event_type AS path, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, value FROM events""",
     "prediction_lines": """

@@ -69,11 +69,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage where a result is scanned several times (model fitting, all-null
     checks). Unlike a cache it survives lost executors and keeps column pruning.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/written/{label}-{uuid.uuid4().hex}"
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, label))
+
+
+def written_path(df: DataFrame, label: str) -> str:
+    """Write ``df`` as :func:`written` does; its path."""
+    path = f"{shared_folder(df.sparkSession)}/written/{label}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     _LEFT.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

@@ -200,3 +200,48 @@ def test_flatten_depths(spark):
     assert [tuple(r) for r in rs.flatten_map(flat, "m", ["id"]).collect()] == [(1, ["a"], 5)]
     plain = spark.createDataFrame([(1, 7)], "id int, m int")
     assert [tuple(r) for r in rs.flatten_map(plain, "m", ["id"]).collect()] == [(1, [], 7)]
+
+
+def test_null_columns_from_footers(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 4).select(
+        "id", F.lit(None).cast("double").alias("none"), F.when(F.col("id") > 900, "x").alias("a.b c"),
+        F.array(F.lit(None).cast("int")).alias("list"), F.lit(None).cast("array<int>").alias("no_list"),
+        F.when(F.col("id") < 5, F.lit(float("nan"))).alias("nan"), (F.col("id") % 2).alias("part"),
+    )
+    path = f"{tmp_path}/t"
+    rows.write.partitionBy("part").parquet(path)
+    table = cb.footer_table(spark, path)
+    plan = table.agg(F.count("none"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(none)]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    counts = cb.counts_in_footers(spark, path)
+    assert counts == {"id": 1000, "none": 0, "a.b c": 99, "nan": 5, "part": 1000}
+    stored = spark.read.parquet(path)
+    assert cb.drop_all_null(stored, path).columns == ["id", "a.b c", "list", "nan", "part"]
+    assert cb.drop_all_null(stored).columns == ["id", "a.b c", "list", "nan", "part"]
+
+
+def test_null_columns_where_footers_tell_nothing(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"x": pa.array([1, None]), "y": pa.array([None, None], pa.int64())})
+    pq.write_table(table, f"{tmp_path}/plain.parquet", write_statistics=False)
+    stored = spark.read.parquet(f"{tmp_path}/plain.parquet")
+    assert cb.counts_in_footers(spark, f"{tmp_path}/plain.parquet") == {}
+    assert cb.drop_all_null(stored, f"{tmp_path}/plain.parquet").columns == ["x"]
+    assert cb.counts_in_footers(spark, f"{tmp_path}/absent") == {}
+
+
+def test_variants_of_any_depth(spark):
+    deep = '{"a": ' * 30 + "1" + "}" * 30
+    texts = [(1, '{"a": {"b": 1, "c": [2, {"d": "x"}]}, "e": null}'), (2, "5"), (3, "{}"), (4, None), (5, deep), (6, "[[], [null]]"), (6, "5")]
+    df = spark.createDataFrame(texts, "id int, text string").select("id", F.parse_json("text").alias("v"))
+    out = rs.flatten_variant(df, "v", ["id"]).select("id", F.array_join("path", "/"), F.col("leaf").cast("string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([
+        (1, "a/b", "1"), (1, "a/c/0", "2"), (1, "a/c/1/d", "x"), (1, "e", None), (2, "", "5"),
+        (5, "/".join("a" * 30), "1"), (6, "1/0", None), (6, "", "5"),
+    ], key=str)
+    whole = rs.flatten_variant(df.where("id = 6"), "v", ["id"], arrays=False).select(F.to_json("leaf"))
+    assert sorted(r[0] for r in whole.collect()) == ["5", "[[],[null]]"]
+    assert rs.flatten_variant(df.where("false"), "v", ["id"]).count() == 0
