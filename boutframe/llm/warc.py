@@ -2,8 +2,9 @@
 
 Archives are written by the tasks that hold the pages, through pyarrow's file systems, under names
 of their own for each attempt; the manifest of the committed attempts says which of them count.
-The reader streams an archive member by member. Where a check fails it looks for the next gzip
-member or version line from which a whole record can be read, and logs the bytes between.
+The reader streams an archive member by member, and a member record by record. Where a check fails
+it looks for the next version line of the member, or the next gzip member or version line of the
+archive, from which a whole record can be read, and logs the bytes between.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,8 +34,13 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MEMBER = b"\x1f\x8b\x08"
 
+#: A header that has not ended after so many bytes is damage.
+HEADER_BYTES = 4 << 20
+
 _CHUNK = 1 << 20
+_FINE = 1 << 16
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 _HEADER_END = b"\r\n\r\n"
 
 
@@ -149,14 +155,21 @@ class Damaged(Exception):
 
 @dataclass
 class Found:
-    """A record, or with a reason a gap, at ``start`` to ``end`` of the archive."""
+    """A record, or with a reason a gap, at ``start`` to ``end`` of the archive.
+
+    All that a member holds has the member's place, and with it ``inner``, its own among the
+    unpacked bytes; a gap without that is the whole stretch. Of a member that breaks off, records
+    end where bytes of the archive that may belong to something else begin, as does its gap.
+    """
 
     start: int
     end: int
     reason: str | None = None
+    inner: tuple[int, int] | None = None
     headers: dict[str, str] = field(default_factory=dict)
     payload: bytes = b""
     payload_bytes: int | None = None
+    proven: bool = False  # by a digest
 
 
 class Source:
@@ -185,61 +198,172 @@ class Source:
         return self.size
 
 
+class Unpacked:
+    """The unpacked bytes of a member, read front to back; bytes behind the reader are let go."""
+
+    def __init__(self, source: Source, start: int, step: int = _CHUNK):
+        self.source, self.pos, self.step, self.size = source, start, step, None
+        self.unpack, self.base, self.held = zlib.decompressobj(31), 0, bytearray()
+        self.ended, self.reason, self.pending, self.most = False, None, b"", step
+        #: How far the bytes reached after each step, and the archive's bytes read before it.
+        self.marks: list[tuple[int, int]] = []
+
+    @property
+    def reached(self) -> int:
+        return self.base + len(self.held)
+
+    def more(self) -> bool:
+        """Unpack a step more; false at the end of the member or of what can be unpacked."""
+        while not self.ended:
+            packed = self.pending
+            if not packed:
+                packed = self.source.at(self.pos, min(self.step, self.source.size - self.pos))
+                self.pos += len(packed)
+            before, part = self.pos - len(packed), packed[: self.most]
+            saved = self.unpack.copy()
+            try:
+                out = self.unpack.decompress(part, self.step)
+                break
+            except zlib.error:
+                # What comes before the damage is had from shorter parts.
+                self.unpack, self.pending, self.most = saved, packed, max(1, len(part) // 2)
+                if len(part) <= 1:
+                    self.ended, self.reason = True, "bad member"
+        else:
+            return False
+        self.pending = self.unpack.unconsumed_tail + packed[len(part) :]
+        self.held += out
+        self.marks.append((self.reached, before))
+        if self.unpack.eof:
+            self.ended, self.pos = True, self.pos - len(self.unpack.unused_data) - len(self.pending)
+        elif not packed and not out:
+            self.ended, self.reason = True, "truncated member"
+        return not self.ended or bool(out)
+
+    def at(self, pos: int, n: int) -> bytes:
+        while self.reached < pos + n and self.more():
+            pass
+        return bytes(self.held[pos - self.base : pos - self.base + n])
+
+    def find(self, pattern: re.Pattern, pos: int, overlap: int) -> int:
+        """As that of :class:`Source`; bytes before what is found are let go."""
+        while True:
+            chunk = self.at(pos, _CHUNK)
+            if m := pattern.search(chunk):
+                return pos + m.start()
+            if len(chunk) < _CHUNK:
+                return self.size
+            pos += len(chunk) - overlap
+            self.let_go(pos)
+
+    def let_go(self, pos: int) -> None:
+        del self.held[: pos - self.base]
+        self.base = pos
+        while len(self.marks) > 1 and self.marks[0][0] < pos:
+            self.marks.pop(0)
+
+    def own_until(self, pos: int) -> int:
+        """A place of the archive up to which its bytes were needed for those before ``pos``."""
+        return next(before for reached, before in self.marks if reached >= pos)
+
+
 def scan(source: Source) -> Iterator[Found]:
     """Records in order; each stretch that no record could be read from is one gap."""
-    pos, gap = 0, None
-    while pos < source.size:
-        try:
-            found = _member(source, pos) if source.at(pos, 3) == MEMBER else _plain(source, pos)
-        except Damaged as problem:
-            gap = gap or Found(pos, pos, str(problem))
-            pos = source.find(_START, pos + 1, 16)
+    gap = None
+    for found in _pieces(source):
+        if gap and found.reason and found.inner is None:
+            gap.end = found.end
             continue
         if gap:
-            gap.end = pos
             yield gap
             gap = None
-        yield found
-        pos = found.end
+        if found.reason and found.inner is None:
+            gap = found
+        else:
+            yield found
     if gap:
-        gap.end = source.size
         yield gap
 
 
-def _member(source: Source, start: int) -> Found:
-    unpack, data, pos = zlib.decompressobj(31), bytearray(), start
-    while not unpack.eof:
-        chunk = source.at(pos, min(_CHUNK, source.size - pos))
-        if not chunk:
-            raise Damaged("truncated member")
+def _pieces(source: Source) -> Iterator[Found]:
+    pos = 0
+    while pos < source.size:
+        if source.at(pos, len(MEMBER)) == MEMBER:
+            member = Unpacked(source, pos)
+            while member.more():  # the checksum and size of the whole, in bounded memory
+                member.let_go(member.reached)
+            whole, size, end = member.reason is None, member.reached, member.pos
+            fresh = Unpacked(source, pos, _CHUNK if whole else _FINE)
+            fresh.size, own = size, pos
+            for found in _records(fresh, pos, end if whole else None):
+                own = found.end
+                yield found
+            if whole:
+                pos = end
+                continue
+            problem, ahead = member.reason, max(pos + 1, own)
+        else:
+            try:
+                found = _plain(source, pos)
+                yield found
+                pos = found.end
+                continue
+            except Damaged as damage:
+                problem, own, ahead = str(damage), pos, pos + 1
+        following = source.find(_START, ahead, 16)
+        yield Found(own, following, problem)
+        pos = following
+
+
+def _records(member: Unpacked, start: int, end: int | None) -> Iterator[Found]:
+    """Records of a member and the gaps between; without an ``end`` it breaks off.
+
+    Of a member that breaks off only records that a digest proves are taken, and what follows the
+    last of them is no gap of its own.
+    """
+    at, gap, reason, own = 0, None, None, start
+    while at < member.size:
+        member.let_go(at)
         try:
-            data += unpack.decompress(chunk)
-        except zlib.error as problem:
-            raise Damaged("bad member") from problem
-        if data and not VERSION.startswith(bytes(data[:7])[:7]):
-            raise Damaged("member without a version line")
-        pos += len(chunk)
-    pos -= len(unpack.unused_data)
-    found = _record(bytes(data), 0)
-    if found.end != len(data):
-        raise Damaged("more than a record in a member")
-    return Found(start, pos, None, found.headers, found.payload, found.payload_bytes)
-
-
-def _plain(source: Source, start: int) -> Found:
-    if not re.match(rb"WARC/1\.[01]\r\n", source.at(start, 10)):
-        raise Damaged("no version line")
-    end = source.find(re.compile(re.escape(_HEADER_END)), start, 4)
-    if end >= source.size:
-        raise Damaged("truncated header")
-    length = _headers(source.at(start, end - start)).get("content-length", "")
+            found = _plain(member, at)
+            if end is None and not found.proven:
+                raise Damaged("unproven record of a broken member")
+        except Damaged as problem:
+            if gap is None:
+                gap, reason = at, "member without a version line" if not at and str(problem) == _NO_VERSION else str(problem)
+            at = member.find(_VERSION_LINE, at + 1, 16)
+            continue
+        inner = (found.start, found.end)
+        until = end if end is not None else max(own, member.own_until(found.end))
+        if gap is not None:
+            yield Found(start, until, reason, (gap, at))
+            gap = None
+        own, at = until, found.end
+        yield replace(found, start=start, end=until, inner=inner)
+    if end is not None and (gap is not None or not member.size):
+        whole = gap in (0, None)
+        yield Found(start, end, reason or "empty member", None if whole else (gap, member.size))
+
+
+_NO_VERSION = "no version line"
+
+
+def _plain(source: Source | Unpacked, start: int) -> Found:
+    if not _VERSION_LINE.match(source.at(start, 10)):
+        raise Damaged(_NO_VERSION)
+    held = _CHUNK // 16
+    while (head := source.at(start, min(held, source.size - start))).find(_HEADER_END) < 0:
+        if held >= HEADER_BYTES or len(head) < held:
+            raise Damaged("truncated header")
+        held *= 4
+    body = head.find(_HEADER_END) + 4
+    length = _headers(head[: body - 4]).get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise Damaged("bad content length")
-    total = end + 4 - start + int(length) + 4
+    total = body + int(length) + 4
     if start + total > source.size:
         raise Damaged("truncated record")
-    found = _record(source.at(start, total), start)
-    return found
+    return _record(source.at(start, total), start)
 
 
 def _headers(data: bytes) -> dict[str, str]:
@@ -263,7 +387,7 @@ def _record(data: bytes, start: int) -> Found:
     block = data[body:end]
     if len(block) < int(length) or data[end : end + 4] != _HEADER_END:
         raise Damaged("record end is not where its length says")
-    _check(headers, "warc-block-digest", block)
+    proven = _check(headers, "warc-block-digest", block)
     payload, n = block, len(block)
     if headers.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(_HEADER_END)
@@ -273,17 +397,21 @@ def _record(data: bytes, start: int) -> Found:
             n = int(told) if told.isascii() and told.isdigit() else None
     if headers.get("warc-type") != "revisit":
         _check(headers, "warc-payload-digest", payload)
-    return Found(start, start + end + 4, None, headers, payload, n)
+    return Found(start, start + end + 4, None, None, headers, payload, n, proven)
 
 
-def _check(headers: dict[str, str], name: str, data: bytes) -> None:
+def _check(headers: dict[str, str], name: str, data: bytes) -> bool:
+    """Whether there is a digest of a known kind; one that differs is damage."""
     kind, _, told = headers.get(name, "").partition(":")
-    if kind.lower() == "sha1" and told.upper() != digest32(data):
+    if kind.lower() != "sha1":
+        return False
+    if told.upper() != digest32(data):
         raise Damaged(f"{name} differs")
+    return True
 
 
 READ_SCHEMA = (
-    "path string, start long, end long, gap_reason string, record_type string, record_id string, "
+    "path string, start long, end long, inner_start long, inner_end long, gap_reason string, record_type string, record_id string, "
     "refers_to string, target_uri string, payload_digest string, payload_bytes long, payload binary"
 )
 
@@ -292,7 +420,8 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records and gaps of the archives named in ``archives.path``, a row each.
 
     A gap has a ``gap_reason``, the first check that failed in it, and null for what records
-    have. An empty archive gives no row; a missing one fails the job. Payloads are null where
+    have. ``inner_start`` and ``inner_end`` are places among the unpacked bytes of the member that
+    holds the row, null where it is no part of one. An empty archive gives no row; a missing one fails the job. Payloads are null where
     ``with_payload`` is false, and for revisits.
     """
     small_batches(archives.sparkSession)
@@ -326,6 +455,8 @@ def _row(path: str, x: Found, with_payload: bool) -> dict:
         "path": path,
         "start": x.start,
         "end": x.end,
+        "inner_start": x.inner and x.inner[0],
+        "inner_end": x.inner and x.inner[1],
         "gap_reason": x.reason,
         "record_type": h.get("warc-type"),
         "record_id": h.get("warc-record-id"),

@@ -123,6 +123,75 @@ def test_truncated_and_foreign_files():
     assert [f.reason for f in scan(warc.compress(b"no archive"))] == ["member without a version line"]
 
 
+def test_member_of_several_records():
+    """Records that share a member are all read, before and after members of their own."""
+    r = records(8)
+    data = warc.compress(b"".join(r[:3])) + warc.compress(r[3]) + warc.compress(r[4]) + warc.compress(b"".join(r[5:]))
+    found = scan(data)
+    assert ids(found) == [f"<urn:page:{k}>" for k in range(8)] and not any(f.reason for f in found)
+    unpacked = b"".join(r[:3])
+    assert [unpacked[slice(*f.inner)] for f in found[:3]] == r[:3]
+    assert {(f.start, f.end) for f in found[:3]} == {(0, len(warc.compress(unpacked)))}
+    assert [f.payload for f in found] == [f.payload for f in scan(b"".join(r))]
+
+
+def test_damage_inside_a_whole_member():
+    r = records(9)
+    broken = bytearray(r[4])
+    broken[-20] ^= 0xFF
+    data = warc.compress(b"".join([*r[:4], bytes(broken), *r[5:]]))
+    found = scan(data)
+    assert ids(found) == [f"<urn:page:{k}>" for k in range(9) if k != 4]
+    (gap,) = [f for f in found if f.reason]
+    before = sum(map(len, r[:4]))
+    assert gap.inner == (before, before + len(r[4])) and gap.reason == "warc-block-digest differs"
+    junk = scan(warc.compress(b"junk" * 1000 + r[0] + b"tail"))
+    assert [(f.reason, f.inner) for f in junk] == [
+        ("member without a version line", (0, 4000)), (None, (4000, 4000 + len(r[0]))), ("no version line", (4000 + len(r[0]), 4004 + len(r[0]))),
+    ]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_a_large_member_breaks_off(seed):
+    """Records before the damage are kept, those of the next members found, the rest is one gap."""
+    rng = random.Random(seed)
+    r = [warc.record(str(i), None, rng.randbytes(rng.randrange(60_000)), None) for i in range(40)]
+    one = warc.compress(b"".join(r[:30]))
+    cut = rng.randrange(len(one) // 4, len(one))
+    ends = [sum(map(len, r[: k + 1])) for k in range(30)]
+    unpack = warc.zlib.decompressobj(31)
+    reach = len(unpack.decompress(one[:cut]))
+    data = one[:cut] + b"".join(map(warc.compress, r[30:]))
+    found = scan(data)
+    assert set(ids(found)) == {f"<urn:page:{k}>" for k in range(40) if k >= 30 or ends[k] <= reach}
+    (gap,) = [f for f in found if f.reason]
+    assert gap.start <= cut <= gap.end and gap.end == cut
+
+
+def test_a_member_is_unpacked_in_bounded_memory():
+    import tracemalloc
+
+    r = [warc.record(str(i), None, bytes(200_000), None) for i in range(400)]  # 80 MB of zeros
+    data = warc.compress(b"".join(r))
+    del r
+    tracemalloc.start()
+    n = sum(1 for f in warc.scan(warc.Source(io.BytesIO(data), len(data))) if not f.reason)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n == 400 and peak < 12 << 20
+
+
+def test_records_without_digests_need_a_whole_member():
+    plain = warc.VERSION + b"\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    member = warc.compress(plain * 2)
+    assert len([f for f in scan(member) if not f.reason]) == 2
+    spoiled = member[:-8] + bytes(x ^ 1 for x in member[-8:])
+    assert [(f.start, f.end, f.reason) for f in scan(spoiled)] == [(0, len(member), "bad member")]
+    proven = warc.compress(records(1)[0])
+    kept = scan(proven[:-8] + bytes(8))
+    assert ids(kept) == ["<urn:page:0>"] and kept[-1].reason == "bad member" and kept[-1].end == len(proven)
+
+
 def test_gap_is_logged_by_the_job(spark, tmp_path):
     parts = [warc.compress(r) for r in records(6)]
     broken = bytearray(b"".join(parts))
