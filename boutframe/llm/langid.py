@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutframe.llm.tables import held_out, small_batches
+from boutframe.session import written
 
 ORDER = 4
 #: Labelled documents of each language that the models are counted on, about: the bound of the fit.
 SAMPLE_DOCS = 1500
 #: Of these, the share that calibrates instead.
 CALIBRATION = 0.2
+#: Of a language's calibrating documents the highest entropies are left out, one at least: the label may be wrong.
+TRIMMED = 0.02
 #: A text is rejected so many standard deviations above the usual entropy of its language, but not
 #: below the middle between that and the entropy of documents in other languages.
 REJECT_AT = 8.0
@@ -213,12 +216,13 @@ class Identifier:
         mean, doc, char = self.usual[language]
         return max(mean + REJECT_AT * (doc + char / length) ** 0.5, self.middle[language])
 
-    def calibrate(self, texts: list[str], labels: list[str]) -> None:
-        """Fit the softmax by likelihood, and each language's usual entropy."""
+    def calibrate(self, entropy: np.ndarray, spread: np.ndarray, labels: list[str]) -> None:
+        """Fit the softmax by likelihood, and each language's usual entropy.
+
+        ``entropy`` and ``spread`` are those of :meth:`Models.score`, of texts with letters.
+        """
         index = {name: k for k, name in enumerate(self.models.languages)}
-        entropy, spread, n = self.models.score(texts)
         truth = np.array([index[x] for x in labels], int)
-        entropy, spread, truth = entropy[n > 0], spread[n > 0], truth[n > 0]
         if not len(truth):
             return
         rows = np.arange(len(truth))
@@ -230,11 +234,15 @@ class Identifier:
         self.sharpness = min((2.0**k for k in range(-1, 8)), key=loss)
         usual, middle = [], []
         for k in range(len(self.models.languages)):
-            own = truth == k
-            own = own if own.sum() > 1 else np.ones(len(truth), bool)
-            h, foreign = entropy[own, k], entropy[~own, k]
+            own = np.flatnonzero(truth == k)
+            # Of a language that too few documents calibrate, all documents tell.
+            own = own if len(own) > 1 else np.arange(len(truth))
+            foreign = np.setdiff1d(np.arange(len(truth)), own)
+            own = own[np.argsort(entropy[own, k], kind="stable")][: max(1, int(len(own) * (1 - TRIMMED)))]
+            h = entropy[own, k]
             usual.append((h.mean(), h.var(), spread[own, k].mean()))
-            middle.append(max(h.max(), (h.mean() + (foreign.mean() if len(foreign) else h.mean())) / 2))
+            apart = entropy[foreign, k].mean() if len(foreign) else h.mean()
+            middle.append(max(h.max(), (h.mean() + apart) / 2))
         self.usual, self.middle = np.array(usual), np.array(middle)
 
 
@@ -242,18 +250,23 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     """Models of the languages that ``labelled`` names, from about ``sample_docs`` rows of each.
 
     Rows are drawn by a hash of their key, which is no input of the models; rows without text,
-    letters or language are left out. The driver gets distinct n-grams of the sample, not texts of
-    the corpus, and the calibrating share of the sample.
+    letters or language are left out. Every language that has a row is learned, be it one. The driver
+    gets distinct n-grams of the sample and the entropies of its calibrating share, and no texts.
     """
-    rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    sizes = rows.groupBy(F.col(lang_col).alias("l")).count()
-    # One row per language.
-    sizes = sizes.withColumn("odds", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")))
+    rows = labelled.filter(F.col(text_col).rlike(r"\p{L}") & F.col(lang_col).isNotNull())
     place = F.pmod(F.xxhash64(F.col(key_col), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    sample = rows.join(F.broadcast(sizes), F.col(lang_col) == F.col("l")).withColumn("place", place / F.col("odds"))
-    sample = sample.filter("place < 1").select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "place")
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), place.alias("place"))
+    sizes = rows.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"), F.max("place").alias("last"))
+    # A language whose documents would all calibrate has them counted instead.
+    share = F.when(F.col("last") < CALIBRATION, 0.0).otherwise(CALIBRATION)
+    sizes = sizes.select("l", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("n")).alias("odds"), share.alias("share"))
+    # One row per language; its size decides how it is joined.
+    sample = rows.join(written(sizes, "languages"), F.col("lang") == F.col("l")).withColumn("place", F.col("place") / F.col("odds"))
+    sample = sample.filter("place < 1").select("lang", "text", (F.col("place") < F.col("share")).alias("calibrates"))
+    # Read twice: for the counts, and by the models to be calibrated.
+    sample = written(sample, "language-sample")
     small_batches(labelled.sparkSession)
-    counted = sample.filter(F.col("place") >= CALIBRATION).mapInArrow(_count, GRAM_SCHEMA)
+    counted = sample.filter("NOT calibrates").mapInArrow(_count, GRAM_SCHEMA)
     # The n-grams of the bounded sample, as columns of numbers.
     found = counted.groupBy("lang", "head", "tail").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(pc.unique(found.column("lang")).to_pylist())
@@ -265,8 +278,19 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     if not languages:
         return Identifier(_NoModels())
     identifier = Identifier(Models(languages, counts))
-    held = sample.filter(F.col("place") < CALIBRATION).filter(F.col("lang").isin(languages)).collect()
-    identifier.calibrate([r["text"] for r in held], [r["lang"] for r in held])
+    shared = labelled.sparkSession.sparkContext.broadcast(identifier.models)  # bounded by the sample
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entropy, spread, n = shared.value.score(batch.column("text").to_pylist())
+            columns = [batch.column("lang"), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(list(spread), pa.list_(pa.float64()))]
+            yield pa.record_batch(columns, names=["lang", "entropy", "spread"]).filter(pa.array(n > 0))
+
+    # Numbers of the bounded sample, two per language and document.
+    held = sample.filter("calibrates").filter(F.col("lang").isin(languages))
+    held = held.mapInArrow(scores, "lang string, entropy array<double>, spread array<double>").orderBy("lang", "entropy").toArrow()
+    tables = (np.array(held.column(c).to_pylist(), float).reshape(-1, len(languages)) for c in ("entropy", "spread"))
+    identifier.calibrate(*tables, held.column("lang").to_pylist())
     return identifier
 
 

@@ -5,6 +5,7 @@ from math import log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boutframe.llm import langid
 from boutframe.llm.catalogue import QUERIES
@@ -133,3 +134,27 @@ def test_the_sample_is_bounded(spark, documents):
     gram = np.array([[ord(c) for c in "  th"]], np.uint32)
     assert identifier.models.languages == ["de", "en"]
     assert np.isfinite(identifier.models.log_p(gram)).all()
+
+
+def test_a_language_with_one_document_is_learned(spark, documents):
+    rare = {f"r{k}": "".join(chr(0x4E00 + 40 * k + j) for j in range(30)) for k in range(12)}
+    rows = [(k, f"the cat sat on the mat number {'x' * (k % 7)}", "en", "s") for k in range(60)]
+    rows += [(100 + k, text, lang, "s") for k, (lang, text) in enumerate(rare.items())]
+    identifier = langid.train(documents(*rows))
+    assert set(identifier.models.languages) == {"en", *rare}
+    assert [r[0] for r in identifier.predict([t[:20] for t in rare.values()])] == list(rare)
+
+
+def test_a_wrong_label_does_not_lift_the_limit(spark, documents):
+    rows = [(k, f"the cat sat on the mat and a dog {'ran' * (k % 4)} over hill {'and dale' * (k % 3)}", "en", "s") for k in range(300)]
+    rows += [(300 + k, f"der Hund und die Katze {'laufen' * (k % 5)} im Garten umher", "de", "s") for k in range(300)]
+    strange = "漢字かな交じり文とは漢字と仮名を交えて書く"
+    clean = langid.train(documents(*rows))
+    # Among the calibrating documents of English, one is another language.
+    place = F.pmod(F.xxhash64(F.col("id"), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
+    key = spark.range(1000, 2000).where(place < langid.CALIBRATION).first()["id"]
+    spoiled = langid.train(documents(*rows, (key, strange, "en", "s")))
+    assert spoiled.predict([strange])[0][3] and clean.predict([strange])[0][3]
+    en = spoiled.models.languages.index("en")
+    assert spoiled.limit(en, 50) == pytest.approx(clean.limit(en, 50), rel=0.2)
+    assert not any(r[3] for r in spoiled.predict([t for _, t, _, _ in rows]))
