@@ -13,6 +13,7 @@ blocks, and every pair of blocks is walked.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from boutframe.llm.components import components
 from boutframe.llm.sieve import marked, sieve, without
-from boutframe.llm.tables import small_batches
+from boutframe.llm.tables import runs, small_batches
 from boutframe.session import written
 
 SHINGLE = 5
@@ -34,6 +35,8 @@ PERCENT = 85
 #: Standard errors of the estimate below the threshold at which a pair is given up.
 ESTIMATE_MARGIN = 4.5
 BLOCK_DOCS, BLOCK_BYTES = 2048, 48 << 20
+#: Shingles are sketched and compared so many at a time, or a set.
+RUN_SHINGLES = 50_000
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _U = np.uint64
@@ -224,16 +227,21 @@ def confirmed(registers: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]):
         asked = others[linked]
         if len(asked):
             lengths = sizes[asked]
-            values = np.concatenate([sets[k] for k in asked])
-            at = np.searchsorted(sets[node], values)
-            at[at == len(sets[node])] = 0
-            common = np.add.reduceat((sets[node][at] == values).astype(np.int64), np.r_[0, np.cumsum(lengths)[:-1]])
+            common = np.concatenate([_common(sets[node], run) for run in runs([sets[k] for k in asked], RUN_SHINGLES)])
             linked[linked] = 100 * common >= PERCENT * (lengths + sizes[node] - common)
         return linked
 
     return neighbours
 
 
+def _common(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set has in common with ``one``."""
+    values = np.concatenate(sets)
+    at = np.searchsorted(one, values)
+    at[at == len(one)] = 0
+    return np.add.reduceat((one[at] == values).astype(np.int64), np.r_[0, np.cumsum([len(s) for s in sets])[:-1]])
+
+
 def _stars(ids: np.ndarray, groups: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges from every member of a component to its smallest id."""
     edges = []
@@ -265,7 +273,7 @@ def sketched(docs: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(t.as_py() or b"") for t in batch.column("text")]
             full, sums = [s for s in sets if len(s)], list(map(checksums, sets))
-            rows = iter(sketches(full)) if full else iter(())
+            rows = chain.from_iterable(map(sketches, runs(full, RUN_SHINGLES)))
             yield pa.record_batch(
                 {
                     "id": batch.column("id"),

@@ -10,14 +10,20 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
-#: Pieces a worker remembers; beyond that it starts anew. Bounds memory, not results.
-REMEMBERED = 600_000
+from boutframe.llm.tables import runs
+
+#: Pieces a worker learns before it lets go of those not met since it last did so; it remembers twice
+#: as many and those of a run at most. Bounds memory, not results.
+REMEMBERED = 200_000
+#: Texts are split in runs of about so many characters, as a piece takes far more memory than its text.
+RUN_CHARS = 200_000
 
 # Letters whose class no version of Unicode disputes; other texts take the library's own split.
 _LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
@@ -36,6 +42,8 @@ def tokenizer_digest(definition: str) -> str:
 
 @lru_cache(maxsize=2)
 def encoder(definition: str) -> Encoder:
+    # A task has a core; the library's threads would each keep memory of their own.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(definition)
 
 
@@ -59,9 +67,13 @@ class Encoder:
         added = [re.escape(t["content"]) for t in spec.get("added_tokens") or [] if t["content"]]
         self.added = re.compile("|".join(added)) if added else None
         self.known: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        return list(chain.from_iterable(map(self._ids, runs(texts, RUN_CHARS))))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         plain = [self.by_piece and not _UNUSUAL.search(t) and not (self.added and self.added.search(t)) for t in texts]
         pieces = [_PIECES.findall(t) if p else () for t, p in zip(texts, plain)]
         self._learn(set(chain.from_iterable(pieces)))
@@ -74,8 +86,11 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.earlier, self.known = self.known, {}
         missing = pieces.difference(self.known)
+        again = {p: self.earlier[p] for p in missing if p in self.earlier}
+        self.known.update(again)
+        missing.difference_update(again)
         spaced = [p for p in missing if _SPACED_WORD.fullmatch(p)]
         for k in range(0, len(spaced), 10_000):
             # Words that begin with a space stay apart when put together.

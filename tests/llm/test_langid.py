@@ -1,9 +1,11 @@
 """Language models against a plain dictionary version, held-out accuracy, odd texts."""
 
+import tracemalloc
 from collections import Counter, defaultdict
 from math import log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,20 @@ def test_a_wrong_label_does_not_lift_the_limit(spark, documents):
     en = spoiled.models.languages.index("en")
     assert spoiled.limit(en, 50) == pytest.approx(clean.limit(en, 50), rel=0.2)
     assert not any(r[3] for r in spoiled.predict([t for _, t, _, _ in rows]))
+
+
+def test_counting_a_batch_takes_memory_for_a_run_of_it():
+    letters = np.random.default_rng(3).choice(list("abcdefgh "), 2_000_000)
+    texts = ["".join(t) for t in np.split(letters, 400)]
+    batch = pa.record_batch({"lang": ["a", "b"] * 200, "text": texts})
+    counted = Counter()
+    tracemalloc.start()
+    try:
+        for part in langid._count(iter([batch])):
+            for lang, n in zip(part.column("lang").to_pylist(), part.column("n").to_pylist()):
+                counted[lang] += n
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counted == {x: sum(len(langid.codes([t])[0]) for t in texts[k::2]) for k, x in enumerate("ab")}
+    assert peak < 40 << 20  # of a batch at once over 80 MB

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -189,3 +190,18 @@ def test_the_smallest_id_of_a_chain_is_found_among_clashing_ids(spark, documents
     rows = [(5, chain[2]), (6, chain[1]), (5, "lone " * 30), (6, chain[0]), (3, "unlike " * 30)]
     got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in ss.near_groups(documents(*rows)).collect())
     assert got == [(3, 3, True), (5, 5, True), (5, 5, True), (6, 5, False), (6, 5, False)]
+
+
+def test_runs_give_the_same_links_in_less_memory(monkeypatch):
+    one = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 2000, dtype=np.uint64))
+    sets = [one[k % 9 :] for k in range(1000)]
+    registers, sizes = np.repeat(ss.sketches([one]), len(sets), axis=0), np.array([len(s) for s in sets])
+    monkeypatch.setattr(ss, "maybe_linked", lambda registers, sizes, one, size: np.ones(len(sizes), bool))
+    tracemalloc.start()
+    try:
+        linked = ss.confirmed(registers, sizes, [*sets[:-1], one[1900:]])(0, np.arange(1, len(sets)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert linked.tolist() == [True] * (len(sets) - 2) + [False]
+    assert peak < 8 << 20  # of all sets at once over 30 MB

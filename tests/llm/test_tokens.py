@@ -34,6 +34,16 @@ def test_ids_equal_the_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [expected(t) for t in texts]
 
 
+def test_a_worker_remembers_a_bounded_number_of_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "RUN_CHARS", 200)
+    encoder = tokens.Encoder(Path(PATH).read_text())
+    texts = [f"often met w{chr(97 + k // 26)}{chr(97 + k % 26)}ord {k}" for k in range(600)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [expected(t) for t in texts]
+    assert len(encoder.known) + len(encoder.earlier) <= 2 * (50 + 200)
+    assert " met" in encoder.known or " met" in encoder.earlier
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from(" \n\t\r'abzéßÿ×½1-_.,<|>sSt\xa0 ǅ") | st.characters(codec="utf-8"), max_size=60))
 def test_ids_equal_the_library_on_any_text(text):
