@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from boutframe.operators.contests import numbered_schedule
 from boutframe.operators.ratings import season_ratings
 from boutframe.plans.domain import SPAN, Domain
 
@@ -71,3 +72,8 @@ def test_contests_are_not_taken_for_fewer_than_they_are(crowded):
 def test_contests_are_not_broadcast_to_their_figures(crowded, half_a_megabyte):
     # The figures are few here, so those may be.
     assert "BuildLeft" not in plan_of(crowded.boxscores())
+
+
+def test_game_numbers_are_not_broadcast_to_the_schedule(crowded, half_a_megabyte):
+    plan = plan_of(numbered_schedule(crowded.games()))
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
